@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, packing
+from . import decontaminate, exact_dedup, ngram_join, packing
 
 QUERIES = {
+    "op5_ngram_jaccard_join": ngram_join.op5_ngram_jaccard_join,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_packing": packing.op7_packing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
+    "op5_ngram_jaccard_join": ngram_join.ORACLE,
     "op6_decontamination": decontaminate.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
