@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.scratch import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLICE_BYTES = 2_000_000
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -34,6 +36,12 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def without(docs: DataFrame, ids: DataFrame, most: int = 500_000) -> DataFrame:
+    """``docs`` less the rows whose doc_id is in ``ids``; ids are broadcast only if they are ``most`` at most."""
+    ids = materialize(ids.select("doc_id").distinct(), "dropped")
+    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
 SQL_LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
 

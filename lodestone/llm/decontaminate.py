@@ -20,9 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.scratch import materialize
-
-from .common import BYTE_ALNUM, slices, table, tune_arrow, utf8, words
+from .common import BYTE_ALNUM, slices, table, tune_arrow, utf8, without, words
 
 WINDOW = 10
 BLOCK_BYTES = 32_000_000  # text of the items in one broadcast block at most (a longer item is a block of its own)
@@ -250,8 +248,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
 
 def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that share no window with the benchmark, in all their columns."""
-    bad = materialize(contamination(docs, bench, window).where("n_hit > 0").select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, contamination(docs, bench, window).where("n_hit > 0"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, ngram_join, packing
+from . import decontaminate, exact_dedup, language_id, ngram_join, packing
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op5_ngram_jaccard_join": ngram_join.op5_ngram_jaccard_join,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_packing": packing.op7_packing,
