@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, ngram_join, packing
+from . import decontaminate, exact_dedup, language_id, ngram_join, packing, quality, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op8_quality_classifier": quality.op8_quality_classifier,
     "op1_language_id": language_id.op1_language_id,
     "op5_ngram_jaccard_join": ngram_join.op5_ngram_jaccard_join,
     "op6_decontamination": decontaminate.op6_decontamination,
