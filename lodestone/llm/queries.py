@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, language_id, ngram_join, packing, quality, secrets, toxicity
+from . import chat, decontaminate, exact_dedup, language_id, ngram_join, packing, pii, quality, secrets, toxicity
 
 QUERIES = {
     "op3_chat_format": chat.op3_chat_format,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op9_personal_data": pii.op9_personal_data,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op1_language_id": language_id.op1_language_id,
     "op5_ngram_jaccard_join": ngram_join.op5_ngram_jaccard_join,
