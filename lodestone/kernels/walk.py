@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import deque
 
 from lodestone.kernels.small import Small
@@ -134,46 +135,35 @@ def feedback_order(g: Small) -> list[int]:
     outs, ins = [len(x) for x in adj], [len(x) for x in back]
     live, left, right = set(range(g.n)), [], deque()
     sinks, sources = [u for u in live if outs[u] == 0], [u for u in live if ins[u] == 0]
+    surplus = [(ins[u] - outs[u], u) for u in live]
+    heapq.heapify(surplus)
 
     def take(u: int) -> None:
         live.discard(u)
-        for v, _ in adj[u]:
-            if v in live:
-                ins[v] -= 1
-                if ins[v] == 0:
-                    sources.append(v)
-        for v, _ in back[u]:
-            if v in live:
-                outs[v] -= 1
-                if outs[v] == 0:
-                    sinks.append(v)
-
-    surplus: list[tuple[int, int]] = []
-    import heapq
-
-    stale = True
+        for degree, empty, near in ((ins, sources, adj[u]), (outs, sinks, back[u])):
+            for v, _ in near:
+                if v in live:
+                    degree[v] -= 1
+                    if degree[v] == 0:
+                        empty.append(v)
+                    heapq.heappush(surplus, (ins[v] - outs[v], v))
+
     while live:
         if sinks:
             u = sinks.pop()
             if u in live:
                 right.appendleft(u)
                 take(u)
-                stale = True
         elif sources:
             u = sources.pop()
             if u in live:
                 left.append(u)
                 take(u)
-                stale = True
         else:
-            if stale:
-                surplus = [(ins[u] - outs[u], u) for u in live]
-                heapq.heapify(surplus)
-                stale = False
-            _, u = heapq.heappop(surplus)
-            left.append(u)
-            take(u)
-            stale = True
+            x, u = heapq.heappop(surplus)
+            if u in live and x == ins[u] - outs[u]:
+                left.append(u)
+                take(u)
     return left + list(right)
 
 
