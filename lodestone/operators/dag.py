@@ -1,4 +1,8 @@
-"""Topological order, longest paths, closure and reduction, by peeling generations."""
+"""Topological order, longest paths, closure and reduction.
+
+Large graphs are peeled generation by generation, in joins. Peeling takes a round per generation, so graphs of at most
+``KERNEL_EDGES`` edges (counted first) are ordered in one task instead; the results are the same.
+"""
 
 from __future__ import annotations
 
@@ -12,13 +16,65 @@ from lodestone.plans.loop import number_rows
 from lodestone.scratch import drop, materialize
 
 
+KERNEL_EDGES = 1_000_000
+
+
+def _small(t: Topology) -> bool:
+    return t.edges.limit(KERNEL_EDGES + 1).count() <= KERNEL_EDGES
+
+
+def _queue(g) -> list[int]:
+    """Nodes as a first-in-first-out queue releases them; fewer than all for a cyclic graph."""
+    adj, open_ = g.out(), [0] * g.n
+    for _, v in g.edges:
+        open_[v] += 1
+    order = [u for u in range(g.n) if not open_[u]]
+    for u in order:
+        for v, _ in adj[u]:
+            open_[v] -= 1
+            if not open_[v]:
+                order.append(v)
+    return order
+
+
+def _order_kernel(g) -> list[tuple]:
+    order, adj = _queue(g), g.out()
+    if len(order) < g.n:
+        return []
+    level = [0] * g.n
+    for u in order:
+        for v, _ in adj[u]:
+            level[v] = max(level[v], level[u] + 1)
+    return [(g.names[u], k, level[u]) for k, u in enumerate(order)]
+
+
+def _longest_kernel(g) -> list[tuple]:
+    order, adj, w = _queue(g), g.out(), g.data["w"]
+    if len(order) < g.n:
+        return [(None, None, None, None, None)]
+    cost, by = [0] * g.n, [None] * g.n
+    for u in order:
+        for v, k in adj[u]:
+            if w[k] is not None and cost[u] + w[k] > cost[v]:
+                cost[v], by[v] = cost[u] + w[k], k
+                if cost[v] != cost[v] or cost[v] in (float("inf"), float("-inf")):
+                    raise errors.ArithmeticOverflow("longest path")
+    return [(g.names[u], str(cost[u]), None if by[u] is None else g.names[g.edges[by[u]][0]], None if by[u] is None else g.ids[by[u]], p) for p, u in enumerate(order)]
+
+
 def topological(t: Topology, keep=None) -> DataFrame | None:
     """(node, position, generation), or None for a cyclic graph.
 
     The order is that of a first-in-first-out queue of nodes without open predecessors: inside a generation by the last
     predecessor's position, then by its edge's index; the first generation by node.
     """
-    e = materialize((t.filter_edges(keep) if keep is not None else t).edges.select("edge", "src", "dst"), "edges")
+    g = t.filter_edges(keep) if keep is not None else t
+    if _small(g):
+        from lodestone.kernels.run import run
+
+        out = materialize(run(g, _order_kernel, "node long, position long, generation int"), "order")
+        return None if out.isEmpty() and not t.vertices.isEmpty() else out
+    e = materialize(g.edges.select("edge", "src", "dst"), "edges")
     left = materialize(t.vertices.join(e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("open")), "node", "left").select("node", F.coalesce("open", F.lit(0).cast("long")).alias("open"), F.lit(None).cast("struct<position:bigint,edge:bigint>").alias("by")), "open")
     total, found, generation, parts = left.count(), 0, 0, []
     while True:
@@ -46,9 +102,11 @@ def has_cycle(t: Topology, keep=None) -> bool:
 
 
 def cyclic_core(t: Topology, keep=None) -> Topology:
-    """What is left when nodes without a way in or out are peeled off: every cycle is inside."""
+    """What is left when nodes without a way in or out are peeled off: every cycle is inside. Small graphs stay whole."""
     now = (t.filter_edges(keep) if keep is not None else t).edges.select("edge", "src", "dst")
     n = now.count()
+    if n <= KERNEL_EDGES:
+        return Topology(now.select(F.col("src").alias("node")).unionByName(now.select(F.col("dst").alias("node"))).distinct(), now)
     while True:
         new = materialize(now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("edge", "src", "dst"), "core")
         m = new.count()
@@ -62,14 +120,23 @@ def longest(t: Topology, weight: Column | str | None = None, keep=None) -> DataF
 
     A cyclic graph is an error. Of equal costs the predecessor earliest in topological order is kept.
     """
+    g = t.filter_edges(keep) if keep is not None else t
+    kind = g.edges.select((F.lit(1).cast("long") if weight is None else F.expr(weight) if isinstance(weight, str) else weight).alias("w")).schema["w"].dataType.simpleString()
+    if isinstance(weight, (str, type(None))) and kind in ("int", "bigint", "double") and _small(g):
+        from lodestone.kernels.run import run
+
+        rows = run(g, _longest_kernel, "node long, cost string, parent long, via long, position long", {"w": (weight or "1", float if kind == "double" else int)})
+        rows = materialize(rows, "longest")
+        if not rows.where("node is null").isEmpty():
+            raise errors.CyclicGraph("the longest path needs an acyclic graph")
+        return rows.withColumn("cost", F.col("cost").cast(kind))
     order = topological(t, keep)
     if order is None:
         raise errors.CyclicGraph("the longest path needs an acyclic graph")
     order = materialize(order, "order")
     w = F.lit(1).cast("long") if weight is None else (F.expr(weight) if isinstance(weight, str) else weight)
-    e = (t.filter_edges(keep) if keep is not None else t).edges.select("edge", "src", "dst", w.alias("w")).where("w is not null")
+    e = g.edges.select("edge", "src", "dst", w.alias("w")).where("w is not null")
     e = materialize(e.join(order.select(F.col("node").alias("src"), F.col("position").alias("p")), "src").join(order.select(F.col("node").alias("dst"), F.col("generation").alias("g")), "dst"), "edges")
-    kind = e.schema["w"].dataType.simpleString()
     last = order.agg(F.max("generation")).first()[0]
     zero = F.lit(0).cast(kind)
     none = F.lit(None).cast("long")
