@@ -1,0 +1,175 @@
+"""Chat formatting, secret scans and the pipeline."""
+
+import base64
+import gzip
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import corpus_pipeline
+import pytest
+import zstandard
+from pyspark.sql import functions as F
+
+from lodestone.llm import chat, secrets
+
+from .conftest import NASTY, table
+from .test_copies import bench_rows, check_packing, corpus, fold, plain_contamination, plain_near
+
+EVENTS = "conv_id long, seq long, message long, role string, kind string, text string"
+
+
+def folded(spark, rows):
+    return sorted((r["conv_id"], r["message"], r["role"], r["text"]) for r in chat.fold_events(spark.createDataFrame(rows, EVENTS).withColumn("n", F.lit(1))).collect())
+
+
+def test_fold_events(spark):
+    rows = [
+        (1, 3, 2, None, "delta", "lo"), (1, 1, 1, "user", "delta", "hi"), (1, 2, 2, "assistant", "delta", "hel"),  # out of order
+        (2, 1, 1, "user", "delta", "old"), (2, 2, 1, "user", "edit", "new"), (2, 3, 1, "user", "delta", "!"),
+        (3, 1, 1, "user", "delta", "q"), (3, 2, 2, "assistant", "delta", "bad"), (3, 3, 3, "user", "delta", "why"), (3, 4, 2, "assistant", "regenerate", ""), (3, 5, 2, "assistant", "delta", "good"), (3, 6, 3, "user", "delta", "thanks"),
+        (4, 1, 1, "user", "delta", "gone"), (4, 2, 1, "user", "delete", None),
+        (None, 1, 1, None, None, None),
+    ]
+    random.Random(0).shuffle(rows)
+    assert sorted(folded(spark, [r for r in rows if r[0] is not None])) == [(1, 1, "user", "hi"), (1, 2, "assistant", "hello"), (2, 1, "user", "new!"), (3, 1, "user", "q"), (3, 2, "assistant", "good"), (3, 3, "user", "thanks")]
+    assert folded(spark, [r for r in rows if r[0] is None]) == [(None, 1, "", "")]
+    assert folded(spark, []) == []
+
+
+CONTROL = [chat.BOS, chat.TURN, chat.TEXT, chat.END, chat.EOS, "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
+
+
+def test_render_round_trip(spark):
+    rng = random.Random(4)
+    bits = [*CONTROL, *(c[0] + "\\" * k + c[1:] for c in CONTROL for k in (1, 2)), "\\", "<", "[", ">", "text", "\n", "é", "\U0001f600", "</", "s>", "|>", ""]
+    rows = [(c, k, rng.choice(["user", "assistant", "system", "odd<|end|>", "", None]), "".join(rng.choice(bits) for _ in range(rng.randint(0, 7))) if rng.random() < 0.95 else None) for c in range(60) for k in range(rng.randint(1, 6))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.render(chat.fold_events(chat.turns_as_events(df))).withColumn("turns", chat.read_back(F.col("formatted"))).collect()
+    want = defaultdict(list)
+    for c, k, role, text in sorted(rows, key=lambda r: r[:2]):
+        want[c].append((role or "", text or ""))
+    assert len(out) == len(want)
+    for r in out:
+        assert [(t["role"], t["text"]) for t in r["turns"]] == want[r["conv_id"]]
+        inner = r["formatted"][len(chat.BOS) : -len(chat.EOS)]
+        n = len(want[r["conv_id"]])
+        assert [inner.count(m) for m in CONTROL] == [0, n, n, n, 0, 0, 0, 0, 0]
+        spans = [r["formatted"][s["start"] : s["end"]] for s in r["loss_spans"]]
+        assert [re.sub(r"(?<=<)\\(?=\\*(?:/?s>|<SYS>>|</SYS>>|\|(?:turn|text|end)\|>))|(?<=\[)\\(?=\\*/?INST\])", "", s) for s in spans] == [t for role, t in want[r["conv_id"]] if role == "assistant"]
+
+
+def test_chat_plan_is_native(spark, sf):
+    df = chat.op3_chat_format(spark, sf)
+    assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+    row = df.where("conv_id = -7").first()
+    said = "</s>[INST] ok [/INST]"
+    assert (row["n_turns"], row["loss_chars"]) == (2, len(said)) and row["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    assert row["turns_sha256"] == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+
+
+def test_chat_ties_and_nulls(spark, tmp_path):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, None, None), (None, 1, "user", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit(9)).write.parquet(str(tmp_path / "conversations.parquet"))
+    out = {r["conv_id"]: r for r in chat.op3_chat_format(spark, str(tmp_path)).collect()}
+    assert set(out) == {1, None, -7} and out[1]["n_turns"] == 4
+    assert out[1]["turns_sha256"] == hashlib.sha256(b"\n\nuser\na\nuser\na\nuser\nb\n").hexdigest()
+
+
+TOKEN = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
+
+
+def b64(x):
+    return base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
+
+
+def url(t):
+    return "".join(f"%{x:02X}" for x in t.encode())
+
+
+def uni(t):
+    return "".join(f"\\u{ord(c):04x}" for c in t)
+
+
+@pytest.mark.parametrize("make", [b64, lambda t: b64(gzip.compress(t.encode())), lambda t: b64(zlib.compress(t.encode())), lambda t: b64(zstandard.compress(t.encode() * 3)), url, uni, lambda t: url(b64(t)), lambda t: b64(b64(t)), lambda t: b64(gzip.compress(url(b64(zlib.compress(uni(t).encode()))).encode())), lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("=")])
+def test_nested_secrets(make):
+    before = "Ünïcode \U0001f600 before "
+    text = before + make(TOKEN) + " and after"
+    base, spans, deep = secrets.find(text)
+    assert not [s for s in base if s[0] == "assign"]
+    found = [s for s in spans if s[0] == "assign"]
+    assert found and all(len(before) <= s <= len(before) + 1 and e <= len(before) + len(make(TOKEN)) for _, s, e in found)
+    assert set(base) <= set(spans)
+
+
+def test_secret_spans_in_context():
+    text = "see password%3D%22abcdefghijkl123 now"
+    assert secrets.find(text)[1] == [("assign", 4, 33)]
+    text = "say \\u0041KIAABCDEFGHIJKLMNOP end"
+    assert secrets.find(text)[1] == [("access", 4, 29)]
+
+
+def test_decoding_ends():
+    """A text that decodes to itself, long nests and broken pieces end."""
+    assert secrets.find("%25" * 2000 + "%")[2] == []
+    nest = TOKEN
+    for _ in range(12):
+        nest = b64(nest)
+    assert [s for s in secrets.find(nest)[1] if s[0] == "assign"]
+    for t in ("%zz %E9%FF \\u12 \\uD800 &#xFFFFFFF; AAAAAAAAAAAAAAAAA=", "H4sIAAAAAAAAA" * 3, "A" * 100_000, b64(gzip.compress(b"\0" * 5_000_000))):
+        secrets.find(t)
+
+
+def plain_base(t):
+    out = [("assign", *m.span()) for m in re.finditer(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t) if len(m[2]) >= 12]
+    out += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    out += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 16]
+    return sorted(out, key=lambda s: (s[1], ["assign", "access", "hex"].index(s[0])))
+
+
+def test_base_patterns():
+    rng = random.Random(2)
+    bits = ["token", "SECRET", "Api_Key", "apikey", "passwd", '"', "'", " ", "=", ":", "abcdef012345", "AKIA", "ABCDEFGHIJKLMN", "0123456789abcdef", "é", "ſecret", "\n", "K"]
+    for _ in range(3000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))
+        assert secrets.find(t)[0] == plain_base(t)
+
+
+def test_secret_table(spark, nasty, empty):
+    out = secrets.find_secrets(nasty).collect()
+    assert len(out) == len(NASTY) and all(r["spans"] == "" and r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in out)
+    assert secrets.find_secrets(empty).count() == 0
+    r = secrets.find_secrets(table(spark, [(1, TOKEN + " " + b64(TOKEN))])).first()
+    assert (r["n_assign"], r["n_hex"], r["n_decoded"]) == (1, 1, 2) and r["decoded"][0]["layers"] == "base64"
+
+
+def test_pipeline_against_plain(spark, tmp_path):
+    rows = corpus(11, 150) + [(500, None), (501, "123 !!!"), (502, "")]
+    rows = [(d, t) for d, t in rows]
+    items = bench_rows(12, rows)
+    table(spark, rows, False).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = [(d, t) for d, t in rows if t and re.search(r"[^\W\d_]", t)]
+    last = {}
+    for d, t in kept:
+        last[fold(t)] = max(d, last.get(fold(t), d))
+    kept = [(d, t) for d, t in kept if last[fold(t)] == d]
+    near = plain_near(kept)
+    kept = [(d, t) for d, t in kept if near[d][1] == d]
+    kept = [r for r, c in zip(kept, plain_contamination(kept, items), strict=True) if not c[2]]
+    assert {r["doc_id"] for r in got} == {d for d, _ in kept}
+    from lodestone.llm.packing import tokenizer_path
+
+    check_packing(kept, got, tokenizer_path())
+
+
+def test_pipeline_stages_keep_columns(spark, nasty, empty, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for docs in (nasty, empty):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns == nasty.columns
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= 0
