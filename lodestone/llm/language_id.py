@@ -85,6 +85,42 @@ class ByteGRU:
         logits -= np.log(np.exp(logits).sum(axis=2, keepdims=True))
         return logits, f, b, sf, sb
 
+    def _scan(self, x: np.ndarray, d: str) -> np.ndarray:
+        """States (T, H, B) as of ``_run``, with the windows along the last axis so that each step is long vector operations."""
+        h_size = self.hidden
+        e, u = np.ascontiguousarray(self.p["E" + d].T), np.ascontiguousarray(self.p["U" + d].T)
+        e[: 2 * h_size] *= 0.5
+        u[: 2 * h_size] *= 0.5
+        steps, n = x.shape
+        h, c = np.zeros((h_size, n), np.float32), np.empty((h_size, n), np.float32)
+        g, a, out = np.empty((3 * h_size, n), np.float32), np.empty((3 * h_size, n), np.float32), np.empty((steps, h_size, n), np.float32)
+        rz = g[: 2 * h_size]
+        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+            np.take(e, x[t], axis=1, out=g, mode="clip")
+            np.matmul(u, h, out=a)
+            rz += a[: 2 * h_size]
+            np.tanh(rz, out=rz)
+            rz += 1
+            rz *= 0.5
+            np.multiply(rz[:h_size], a[2 * h_size :], out=c)
+            c += g[2 * h_size :]
+            np.tanh(c, out=c)
+            h = h - c
+            h *= rz[h_size:]
+            h += c
+            out[t] = h
+        return out
+
+    def position_log_probs(self, x: np.ndarray) -> np.ndarray:
+        """(T, classes, B) over x (T, B): every byte's label."""
+        w = np.ascontiguousarray(self.p["W"].T)
+        lp = np.matmul(np.ascontiguousarray(w[:, : self.hidden]), self._scan(x, "f"))
+        lp += np.matmul(np.ascontiguousarray(w[:, self.hidden :]), self._scan(x, "b"))
+        lp += self.p["b"][:, None]
+        lp -= lp.max(axis=1, keepdims=True)
+        lp -= np.log(np.exp(lp).sum(axis=1, keepdims=True))
+        return lp
+
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean loss over all bytes (256 pads) and its gradients, back through time. x (T, B), y (B,)."""
         h_size = self.hidden
@@ -149,11 +185,12 @@ class ByteGRU:
         step = np.arange(window)[:, None]
         for k in range(0, len(begin), LANES):
             b, size = begin[k : k + LANES], length[k : k + LANES]
-            x = data[np.minimum(b[None] + step, len(data) - 1)].astype(np.int64)
-            x[step >= size[None]] = 256
-            lp = self.log_probs(x)[0]
-            lp[step >= size[None]] = 0
-            np.add.at(out, row[k : k + LANES], lp.sum(0))
+            x = data[np.minimum(b[None] + step, len(data) - 1)].astype(np.intp)
+            pad = step >= size[None]
+            x[pad] = 256
+            lp = self.position_log_probs(x)
+            np.multiply(lp, ~pad[:, None], out=lp)
+            np.add.at(out, row[k : k + LANES], lp.sum(0).T)
         return out
 
 

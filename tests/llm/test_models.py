@@ -38,6 +38,8 @@ def test_gru_gradients():
 def test_gru_scores_whole_texts():
     """A text's sums are those of its windows, whatever stands beside it."""
     net = language_id.ByteGRU(["a", "b"], hidden=4)
+    x = np.random.default_rng(5).integers(0, 257, (9, 6))
+    assert np.allclose(net.position_log_probs(x).transpose(0, 2, 1), net.log_probs(x)[0], atol=1e-5)
     texts = [b"abc" * 100, b"", b"z", bytes(range(256)) * 3]
     data = np.frombuffer(b"".join(texts), np.uint8)
     off = np.cumsum([0, *map(len, texts)])
