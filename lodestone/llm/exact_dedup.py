@@ -146,8 +146,9 @@ def exact_dedup(docs: DataFrame, in_snapshot) -> DataFrame:
     sure = same_bytes(docs, found.select("sha", "old_id", "keep_id"))
     both = found.join(sure, "sha").select("sha", F.greatest("keep_id", "old_id").alias("keep_id"), (F.col("group_size") + F.col("old_size")).alias("group_size"))
     rest = old.select("sha", "keep_id", "group_size").unionByName(new.select("sha", "keep_id", "group_size")).join(both.select("sha"), "sha", "left_anti")
-    # Only groups of two rows or more need the way back to their rows; AQE divides a hot digest's rows.
-    classes = both.unionByName(rest).where("group_size > 1")
+    # Only groups of two rows or more need the way back to their rows. They are written first, so that this join has its
+    # own exchanges and AQE can divide a hot digest's rows.
+    classes = materialize(both.unionByName(rest).where("group_size > 1"), "groups")
     out = d.select("doc_id", "sha").join(classes, "sha", "left")
     keep = F.coalesce("keep_id", "doc_id")
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.col("sha").alias("text_sha256"))
