@@ -95,3 +95,36 @@ def distance_analytics(t: Topology, keep=None) -> DataFrame | None:
     if not n or row[2] < n:
         return None
     return d.select("node", "eccentricity", F.lit(row[0]).alias("diameter"), F.lit(row[1]).alias("radius"), (F.col("eccentricity") == row[1]).alias("center"), (F.col("eccentricity") == row[0]).alias("periphery"))
+
+
+def eccentricity(t: Topology, node: int) -> int | None:
+    """Of one node of a connected graph; None otherwise."""
+    d = distance_analytics(t)
+    row = None if d is None else d.where(F.col("node") == node).first()
+    return None if row is None else row["eccentricity"]
+
+
+def _of_all(t: Topology, column: str) -> int | None:
+    d = distance_analytics(t)
+    return None if d is None else d.select(column).first()[0]
+
+
+def diameter(t: Topology) -> int | None:
+    return _of_all(t, "diameter")
+
+
+def radius(t: Topology) -> int | None:
+    return _of_all(t, "radius")
+
+
+def _where(t: Topology, column: str) -> list[int] | None:
+    d = distance_analytics(t)
+    return None if d is None else [r[0] for r in d.where(column).orderBy("node").select("node").collect()]
+
+
+def center(t: Topology) -> list[int] | None:
+    return _where(t, "center")
+
+
+def periphery(t: Topology) -> list[int] | None:
+    return _where(t, "periphery")

@@ -116,3 +116,14 @@ class BitMatrix:
         spark = self.pairs.sparkSession
         e = number_rows(self.pairs, ["i", "j"], "edge").select("edge", F.col("i").alias("src"), F.col("j").alias("dst"))
         return Topology(spark.range(self.n).select(F.col("id").alias("node")), e)
+
+    def to_json(self) -> str:
+        return json.dumps({"node_count": self.n, "pairs": [list(r) for r in self.pairs.orderBy("i", "j").collect()]})
+
+    @classmethod
+    def from_json(cls, spark: SparkSession, text: str) -> BitMatrix:
+        """Repeats count once, whatever was written; pairs outside are refused."""
+        d = json.loads(text)
+        if any(not (0 <= i < d["node_count"] and 0 <= j < d["node_count"]) for i, j in d["pairs"]):
+            raise InvalidFormat("a pair is outside the matrix")
+        return cls(d["node_count"], spark.createDataFrame([tuple(p) for p in d["pairs"]], "i long, j long").distinct())

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_written: set[str] = set()
 
 
 def folder(spark: SparkSession) -> str:
@@ -19,6 +22,7 @@ def folder(spark: SparkSession) -> str:
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(_own[app])
+        atexit.register(shutil.rmtree, _own[app], True)
     return _own[app]
 
 
@@ -27,18 +31,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _written.discard(path)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote and nothing reads any more."""
     path = getattr(df, "_lodestone_path", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that this process has written and not dropped: when no result is read any more."""
+    for path in list(_written):
+        _delete(spark, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
-from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -206,5 +205,25 @@ def from_graphml(spark: SparkSession, text: str) -> tuple[Topology, list[str]]:
     return Topology.from_edges(spark, len(ids), edges, directed=directed), ids
 
 
-def quoted(text: str) -> str:
-    return escape(text, {'"': "&quot;"})
+def read_graph_files(spark: SparkSession, path: str, kind: str, directed: bool = True) -> DataFrame:
+    """(path, node_count, src, dst) of all files under ``path``, each parsed in the task that reads it. ``kind``: dot or
+    graphml (a graph per file), or graph6 (a graph per line)."""
+    if kind not in ("dot", "graphml", "graph6"):
+        raise InvalidFormat(f"no format {kind}")
+    files = spark.read.text(path, wholetext=kind != "graph6").select(F.col("_metadata.file_path").alias("path"), "value")
+
+    def task(batches):
+        for pdf in batches:
+            rows = []
+            for name, text in zip(pdf["path"], pdf["value"], strict=True):
+                if kind == "dot":
+                    n, edges = parse_dot(text, directed)
+                elif kind == "graph6":
+                    n, edges = decode_graph6(text)
+                else:
+                    ids, edges, _ = parse_graphml(text)
+                    n = len(ids)
+                rows += [(name, n, u, v) for u, v in edges] or [(name, n, None, None)]
+            yield pd.DataFrame(rows, columns=["path", "node_count", "src", "dst"]).astype({"src": "Int64", "dst": "Int64"})
+
+    return files.mapInPandas(task, "path string, node_count long, src long, dst long")

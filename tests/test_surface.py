@@ -55,3 +55,21 @@ def test_entry_contract():
     q, o = entry.queries(), entry.oracle_sql()
     assert "pagerank" in q and set(o) <= set(q) and all(callable(f) for f in q.values()) and all(isinstance(s, str) for s in o.values())
     assert callable(api.floyd_warshall) and "bfs" in api.__all__
+
+
+def test_more_names(spark, tmp_path):
+    line = Topology.from_edges(spark, 4, [(0, 1), (1, 2), (2, 3)])
+    assert (api.diameter(line), api.radius(line), api.center(line), api.periphery(line), api.eccentricity(line, 1)) == (3, 2, [1, 2], [0, 3], 2)
+    assert api.diameter(Topology.from_edges(spark, 2, [])) is None
+    table = api.all_pairs(line, "1")
+    assert api.path_between(table, 0, 3) == [0, 1, 2, 3] and api.path_between(table, 3, 0) is None
+    m = api.BitMatrix.from_topology(line)
+    assert api.BitMatrix.from_json(spark, m.to_json()).edge_count() == 3
+    with pytest.raises(errors.InvalidFormat):
+        api.BitMatrix.from_json(spark, '{"node_count": 1, "pairs": [[0, 1]]}')
+    for k in range(2):
+        (tmp_path / f"g{k}.dot").write_text(f"digraph {{ 0 -> {k + 1}; }}")
+        (tmp_path / f"g{k}.graphml").write_text(api.to_graphml(line))
+    rows = api.read_graph_files(spark, str(tmp_path / "*.dot"), "dot").collect()
+    assert sorted((r["node_count"], r["src"], r["dst"]) for r in rows) == [(2, 0, 1), (3, 0, 2)]
+    assert api.read_graph_files(spark, str(tmp_path / "*.graphml"), "graphml").count() == 6
