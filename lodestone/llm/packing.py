@@ -14,12 +14,15 @@ through the tokenizer as a whole; repeated rows are packed separately; an empty
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +32,11 @@ from .common import slices, table, tune_arrow
 CAPACITY = 2048
 WINDOWS = 64
 MAX_TRIM = 512
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000
 END_ID = 1
-_WHOLE = re.compile("<\\||[\x1c-\x1f\x85]")
+_ODD_SPACE = "\x1c\x1d\x1e\x1f\x85"
+_LATIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u017f]+").fullmatch
+_RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall  # fixed: the tokenizer file's own pattern
 
 
 def differencing(sizes: list[int], m: int) -> list[list[int]]:
@@ -124,31 +129,78 @@ def pack(pieces: list[tuple], capacity: int = CAPACITY, max_trim: int = MAX_TRIM
     return windows
 
 
+class _Runs(dict):
+    """Token bytes of a run of letters, digits or marks, folded and normalised: one word to the vocabulary's merges."""
+
+    def __init__(self, tok):
+        from tokenizers import pre_tokenizers
+
+        self.merge, self.spelled = tok.model.tokenize, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, run: str) -> bytes:
+        spelled = run if run.isascii() else self.spelled.pre_tokenize_str(run)[0][0]
+        self[run] = out = array("I", [t.id for t in self.merge(spelled)]).tobytes()
+        return out
+
+
+class _Words(dict):
+    """Token bytes of a word. The words of the generation before are taken over when they come up again."""
+
+    def __init__(self, tok, runs: _Runs, before: dict):
+        self.tok, self.runs, self.before = tok, runs, before
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.before.get(word)
+        if out is None:
+            runs = self.runs
+            if _LATIN(word):
+                low = word.lower()
+                if low.isalpha():
+                    out = runs[low]
+                elif low[-1] in ".,!?" and low[:-1].isalpha():
+                    out = runs[low[:-1]] + runs[low[-1]]
+                else:
+                    out = b"".join([runs[r] for r in _RUNS(low)])
+            else:
+                out = array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = out
+        return out
+
+
 class WordTokens:
-    """Token bytes (little-endian uint32) of texts. The tokenizer splits at white space first, so words are tokenised once."""
+    """Token bytes (little-endian uint32) of texts.
+
+    The tokenizer splits at white space, then into runs of letters, digits and marks, and merges inside each run only. So
+    words are looked up, new words are split into runs, and only new runs are merged. Words with letters beyond the Latin
+    blocks, where normalising can change more than case, and texts with special strings or odd white space go through the
+    whole tokenizer. The caches are bounded and live as long as the Python worker.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.words = _Words(self.tok, _Runs(self.tok), {})
 
     def many(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if t and _WHOLE.search(t) else (t or "").split() for t in texts]
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        cache = self.cache
-        lack = list({w for ws in split if ws for w in ws if w not in cache})
-        for k in range(0, len(lack), 20_000):
-            part = lack[k : k + 20_000]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-        out = []
-        for t, ws in zip(texts, split, strict=True):
-            out.append(np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if ws is None else b"".join([cache[w] for w in ws]))
+        if len(self.words.runs) > CACHED_WORDS:
+            self.words.runs.clear()
+        if len(self.words) > CACHED_WORDS:
+            self.words = _Words(self.tok, self.words.runs, dict(self.words))
+        out, get = [], self.words.__getitem__
+        for t in texts:
+            if t and ("<|" in t or any(c in t for c in _ODD_SPACE)):
+                out.append(array("I", self.tok.encode(t, add_special_tokens=False).ids).tobytes())
+            else:
+                out.append(b"".join(map(get, (t or "").split())))
         return out
 
 
+@functools.lru_cache(maxsize=2)
+def word_tokens(path: str) -> WordTokens:
+    return WordTokens(path)
+
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 _END = np.array([END_ID], "<u4").tobytes()
 
@@ -161,7 +213,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tok = WordTokens(tokenizer_path)
+        tok = word_tokens(tokenizer_path)
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 36
         bundle, held, room = [], {}, capacity * windows
