@@ -35,12 +35,14 @@ def page_rank(t: Topology, damping: float = 0.85, iterations: int = 20, keep=Non
     # parallel edges become one row with their share of the source's rank
     share = materialize(e.groupBy("src", "dst").agg(F.count("*").alias("m")).join(out, "src").select("src", "dst", (F.col("m") / F.col("degree")).alias("share")), "share")
     now = materialize(t.vertices.join(out.select(F.col("src").alias("node")), "node", "left_semi").select("node", F.lit(True).alias("out")).unionByName(t.vertices.join(out.select(F.col("src").alias("node")), "node", "left_anti").select("node", F.lit(False).alias("out"))).withColumn("score", F.lit(1.0 / max(n, 1))), "rank")
+    loose = now.agg(F.coalesce(F.sum(F.when(~F.col("out"), F.col("score"))), F.lit(0.0))).first()[0]
     for _ in range(iterations):
-        loose = now.agg(F.coalesce(F.sum(F.when(~F.col("out"), F.col("score"))), F.lit(0.0))).first()[0]
         got = share.join(now.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("share")).alias("s"))
         raw = now.select("node", "out").join(got, "node", "left").select("node", "out", (F.lit((1 - damping) / max(n, 1)) + F.lit(damping) * (F.coalesce("s", F.lit(0.0)) + F.lit(loose / max(n, 1)))).alias("score"))
         new = materialize(raw, "rank")
-        total = new.agg(F.sum("score")).first()[0] or 1.0
+        # one pass over the new scores: their sum, to normalise by, and the dangling part for the next round
+        total, rest = new.agg(F.coalesce(F.sum("score"), F.lit(1.0)), F.coalesce(F.sum(F.when(~F.col("out"), F.col("score"))), F.lit(0.0))).first()
+        loose = rest / total
         drop(now)
         now = new.withColumn("score", F.col("score") / F.lit(total))
         now._lodestone_path = new._lodestone_path
