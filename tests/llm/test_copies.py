@@ -270,3 +270,18 @@ def test_window_count_rises():
             for x in range(s, s + n):
                 cover[d, x] += 1
         assert all(v == 1 for v in cover.values()) and len(cover) == sum(p[2] for p in pieces)
+
+
+def test_words_have_the_whole_tokenizers_ids():
+    """Text by text and word by word give the same ids, over odd letters, marks, spaces and full caches."""
+    tok = packing.WordTokens(packing.tokenizer_path())
+    rng = random.Random(3)
+    bits = ["'s", "'S", "don't", "İ", "ı", "ſ", "ΣΑΣ", "É", "ß", "ẞ", "é", "ñ", "²", "½", "ª", "µ", "ŉ", "K", "­", "​", "日本", "\U0001f642", "...", "!?", "1", "23", "_", "-", "''s", '"', "«", "A", "z", "Ǆ", "ĳ", "ﬁ", "word,", "Word.", " ", " ", "\t", " ", "　", "\x1c", "<|endoftext|>", "<|"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 9))) for _ in range(6000)] + [None, ""]
+    for k in range(0, len(texts), 500):
+        part = texts[k : k + 500]
+        if k == 3000:
+            tok.words.runs.clear()
+            tok.words = packing._Words(tok.tok, tok.words.runs, dict(tok.words))
+        for t, got in zip(part, tok.many(part), strict=True):
+            assert got == np.array(tok.tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes(), t
