@@ -1,15 +1,15 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is layer 0. Every layer is scanned with the base patterns; then its URL escapes are decoded, its Unicode and
-character escapes are decoded, and each base64 run that decodes to text or to a compressed stream (gzip, zlib, bzip2,
-xz, zstd) is unwrapped; each result is a new layer on the worklist, until nothing new appears. A layer that was seen
+character escapes are decoded, and each base64 run is decoded, also through compressed streams (gzip, zlib, bzip2, xz,
+zstd). Decoded bytes needn't be text: what isn't UTF-8 is scanned as Latin-1, and as UTF-16 where NULs alternate; each result is a new layer on the worklist, until nothing new appears. A layer that was seen
 before in this text (by digest) isn't taken again, so cycles end. Every character of a layer knows its span in the
 original text: exact for escapes, the whole run for base64 and compressed layers. The spans found in deeper layers
 are added to the base ones.
 
 Limits: a decompressed layer is at most ``MAX_LAYER`` bytes (a larger one is scanned up to there and flagged), which
 bounds memory against decompression bombs. Edge cases: null and empty texts have no spans; repeated rows are scanned
-alike; undecodable runs are left as they are.
+alike; runs that aren't base64 are left as they are.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WIDE = (re.compile(rb"(?:[\t\r\n\x20-\x7e]\0){16,}"), re.compile(rb"(?:\0[\t\r\n\x20-\x7e]){16,}"))
 _PLAIN = re.compile(r"[A-Za-z]{1,19}\Z|[a-z]+\Z|[A-Z]?[a-z]+\Z|[A-Z]+\Z|[0-9a-f]+\Z")
 
 
@@ -150,7 +151,21 @@ def _readable(raw: bytes) -> str | None:
     return text if text and odd * 20 <= len(text) else None
 
 
-def _unwrap(run: str) -> tuple[str, tuple] | None:
+def _texts(raw: bytes):
+    """What there is to scan in decoded bytes: UTF-8 or else Latin-1 (the patterns are ASCII), and UTF-16 where NULs alternate."""
+    if not raw:
+        return
+    try:
+        yield raw.decode()
+    except UnicodeDecodeError:
+        yield raw.decode("latin-1")
+    if b"\0" in raw:
+        for wide in _WIDE:
+            if text := "\n".join(m[0].replace(b"\0", b"").decode() for m in wide.finditer(raw)):
+                yield text
+
+
+def _unwrap(run: str) -> tuple[bytes, tuple] | None:
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         return None
@@ -163,8 +178,7 @@ def _unwrap(run: str) -> tuple[str, tuple] | None:
         how.append(got[1])
         if len(how) > 64:  # a stream that unpacks to ever new streams
             break
-    text = _readable(raw)
-    return None if text is None else (text, tuple(how))
+    return raw, tuple(how)
 
 
 def _base64(layer: Layer):
@@ -175,8 +189,10 @@ def _base64(layer: Layer):
         tries = [(m.start(), run)] + [(m.start() + p.start(), p[0]) for p in re.finditer(r"[A-Za-z0-9+]{16,}={0,2}|[A-Za-z0-9/]{16,}={0,2}|[A-Za-z0-9]{16,}={0,2}", run) if p[0] != run]
         for s, part in tries:
             if got := _unwrap(part):
-                yield Layer(got[0], whole=layer.span(s, s + len(part)), path=layer.path + got[1])
-                break
+                for text in _texts(got[0]):
+                    yield Layer(text, whole=layer.span(s, s + len(part)), path=layer.path + got[1])
+                if _readable(got[0]) is not None:
+                    break
 
 
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], list[tuple]]:

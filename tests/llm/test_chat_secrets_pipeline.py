@@ -3,8 +3,10 @@
 import base64
 import gzip
 import hashlib
+import io
 import random
 import re
+import tarfile
 import zlib
 from collections import defaultdict
 
@@ -104,6 +106,21 @@ def test_nested_secrets(make):
     assert set(base) <= set(spans)
 
 
+def tar_gz(t):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as f:
+        info = tarfile.TarInfo(".env")
+        info.size = len(t)
+        f.addfile(info, io.BytesIO(t.encode()))
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("make", [tar_gz, lambda t: t.encode("utf-16"), lambda t: t.encode("utf-16-be"), lambda t: ("é" + t + "ü").encode("latin-1"), lambda t: bytes(range(256)) + t.encode() + bytes(2000), lambda t: gzip.compress(bytes(5000) + t.encode("utf-16-le"))])
+def test_secrets_in_bytes_that_are_not_text(make):
+    run = b64(make(TOKEN))
+    assert any(k == "assign" and 4 <= s < e <= 4 + len(run) for k, s, e in secrets.find(f"see {run} end")[1])
+
+
 def test_secret_spans_in_context():
     text = "see password%3D%22abcdefghijkl123 now"
     assert secrets.find(text)[1] == [("assign", 4, 33)]
