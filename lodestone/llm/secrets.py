@@ -4,7 +4,9 @@ A text is layer 0. Every layer is scanned with the base patterns; then its URL e
 character escapes are decoded, and each base64 run is decoded, also through compressed streams (gzip, zlib, bzip2, xz,
 zstd). Decoded bytes needn't be text: what isn't UTF-8 is scanned as Latin-1, and as UTF-16 where NULs alternate; each result is a new layer on the worklist, until nothing new appears. A layer that was seen
 before in this text (by digest) isn't taken again, so cycles end. Every character of a layer knows its span in the
-original text: exact for escapes, the whole run for base64 and compressed layers. The spans found in deeper layers
+original text: exact for escapes, the whole run for base64 that is text as a whole and for compressed layers, the
+characters that encode it for what lies elsewhere in a base64 run. Runs are decoded in all four alignments, and streams
+are tried at their start and behind each '/', '-', '_' and '+': paths before a payload and joined payloads hide nothing. The spans found in deeper layers
 are added to the base ones.
 
 Limits: a decompressed layer is at most ``MAX_LAYER`` bytes (a larger one is scanned up to there and flagged), which
@@ -39,6 +41,8 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_CUT = re.compile(r"[+/]")
+_SOME = re.compile(rb"[\x20-\x7e]{16}")  # no find, and nothing that decodes to one, is shorter
 _WIDE = (re.compile(rb"(?:[\t\r\n\x20-\x7e]\0){16,}"), re.compile(rb"(?:\0[\t\r\n\x20-\x7e]){16,}"))
 _PLAIN = re.compile(r"[A-Za-z]{1,19}\Z|[a-z]+\Z|[A-Z]?[a-z]+\Z|[A-Z]+\Z|[0-9a-f]+\Z")
 
@@ -151,6 +155,13 @@ def _readable(raw: bytes) -> str | None:
     return text if text and odd * 20 <= len(text) else None
 
 
+def _wide(raw: bytes):
+    if b"\0" in raw:
+        for wide in _WIDE:
+            if text := "\n".join(m[0].replace(b"\0", b"").decode() for m in wide.finditer(raw)):
+                yield text
+
+
 def _texts(raw: bytes):
     """What there is to scan in decoded bytes: UTF-8 or else Latin-1 (the patterns are ASCII), and UTF-16 where NULs alternate."""
     if not raw:
@@ -159,40 +170,62 @@ def _texts(raw: bytes):
         yield raw.decode()
     except UnicodeDecodeError:
         yield raw.decode("latin-1")
-    if b"\0" in raw:
-        for wide in _WIDE:
-            if text := "\n".join(m[0].replace(b"\0", b"").decode() for m in wide.finditer(raw)):
-                yield text
+    yield from _wide(raw)
 
 
-def _unwrap(run: str) -> tuple[bytes, tuple] | None:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    raw = base64.b64decode(body + "=" * (-len(body) % 4))
-    how = ["base64"]
+def _unwrap(raw: bytes) -> tuple[bytes, tuple]:
+    how = []
     while got := _inflate(raw):
         if got[0] == raw:
             break
         raw = got[0]
         how.append(got[1])
-        if len(how) > 64:  # a stream that unpacks to ever new streams
+        if len(how) > 63:  # a stream that unpacks to ever new streams
             break
     return raw, tuple(how)
 
 
+def _mapped(layer: Layer, raw: bytes, at: int, path: tuple) -> Layer:
+    """Bytes of the base64 that begins at ``at`` as Latin-1, each with the characters that encode it."""
+    text = raw.decode("latin-1")
+    if layer.whole:
+        return Layer(text, whole=layer.whole, path=path)
+    bits = np.arange(len(raw)) * 8
+    first, last = at + bits // 6, at + (bits + 13) // 6
+    return Layer(text, first if layer.start is None else layer.start[first], last if layer.end is None else layer.end[last - 1], path=path)
+
+
 def _base64(layer: Layer):
+    """Each run in its four alignments: a payload behind a '/', '-', '_' or '+' begins at a character of one of them.
+
+    A run that is text or a stream as a whole has its own span; what lies in a run is mapped to the characters that
+    encode it, so that several payloads in a run keep their own spans.
+    """
     for m in _BASE64.finditer(layer.text):
-        run = m[0]
-        if _PLAIN.match(run):  # a word, a number in hex: not mixed enough for base64 of 12 bytes
+        if _PLAIN.match(m[0]):  # a word, a number in hex: not mixed enough for base64 of 12 bytes
             continue
-        tries = [(m.start(), run)] + [(m.start() + p.start(), p[0]) for p in re.finditer(r"[A-Za-z0-9+]{16,}={0,2}|[A-Za-z0-9/]{16,}={0,2}|[A-Za-z0-9]{16,}={0,2}", run) if p[0] != run]
-        for s, part in tries:
-            if got := _unwrap(part):
-                for text in _texts(got[0]):
-                    yield Layer(text, whole=layer.span(s, s + len(part)), path=layer.path + got[1])
-                if _readable(got[0]) is not None:
-                    break
+        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+        for skip in range(4):
+            part = body[skip:]
+            part = part[:-1] if len(part) % 4 == 1 else part
+            raw = base64.b64decode(part + "=" * (-len(part) % 4))
+            at = m.start() + skip
+            path = (*layer.path, "base64")
+            inner, how = (raw, ()) if skip else _unwrap(raw)
+            at_once = not skip and (how or _readable(raw) is not None)
+            if at_once:
+                for text in _texts(inner):
+                    yield Layer(text, whole=layer.span(*m.span()), path=path + how)
+            if not at_once and _SOME.search(raw):
+                yield _mapped(layer, raw, at, path)
+            for text in _wide(raw):
+                yield Layer(text, whole=layer.span(at, m.end()), path=path)
+            for c in _CUT.finditer(body, max(skip - 1, 0)):
+                if c.end() % 4 == skip % 4:
+                    inner, how = _unwrap(raw[(c.end() - skip) // 4 * 3 :])
+                    if how:
+                        for text in _texts(inner):
+                            yield Layer(text, whole=layer.span(m.start() + c.end(), m.end()), path=path + how)
 
 
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], list[tuple]]:
@@ -204,7 +237,7 @@ def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     while work:
         layer = work.pop()
         if layer.path:
-            mark = hashlib.blake2b(f"{layer.whole}{layer.text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            mark = hashlib.blake2b(f"{layer.whole or layer.span(0, len(layer.text)) if layer.text else ''}{layer.text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
             if mark in seen:
                 continue
             seen.add(mark)

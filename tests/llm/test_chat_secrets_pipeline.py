@@ -121,6 +121,26 @@ def test_secrets_in_bytes_that_are_not_text(make):
     assert any(k == "assign" and 4 <= s < e <= 4 + len(run) for k, s, e in secrets.find(f"see {run} end")[1])
 
 
+@pytest.mark.parametrize("pack", [b64, lambda t: b64(gzip.compress(t.encode())), lambda t: b64(zlib.compress(t.encode())), lambda t: b64(t.encode("utf-16-le"))])
+@pytest.mark.parametrize("before", ["/", "https://h/cb/", "https://h/c/", "https://h/callback/a-b_c/", "x+", "Ab1_"])
+def test_payload_behind_a_path(before, pack):
+    run = pack(TOKEN).rstrip("=")
+    found = [s for s in secrets.find(f"{before}{run} end")[1] if s[0] == "assign"]
+    assert found and all(s < e <= len(before) + len(run) and e > len(before) for _, s, e in found)
+
+
+@pytest.mark.parametrize("by", "/-_")
+def test_joined_payloads(by):
+    for first, second in ((TOKEN, "api_key: 0123456789abcdefXYZ"), ("password=abcdefghijkl1", TOKEN), (TOKEN + "!", TOKEN)):
+        for pack in (b64, lambda t: b64(zlib.compress(t.encode()))):
+            one, two = pack(first).rstrip("="), pack(second).rstrip("=")
+            found = [s for s in secrets.find(f"{one}{by}{two}")[1] if s[0] == "assign"]
+            if (len(one) + 1) % 4 == 0 and pack is b64:  # the whole run is one text
+                assert ("assign", 0, len(one) + 1 + len(two)) in found
+                continue
+            assert any(s == 0 for _, s, _ in found) and any(len(one) < s < e <= len(one) + 1 + len(two) for _, s, e in found)
+
+
 def test_secret_spans_in_context():
     text = "see password%3D%22abcdefghijkl123 now"
     assert secrets.find(text)[1] == [("assign", 4, 33)]
