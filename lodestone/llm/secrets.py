@@ -9,8 +9,13 @@ characters that encode it for what lies elsewhere in a base64 run. Runs are deco
 are tried at their start and behind each '/', '-', '_' and '+': paths before a payload and joined payloads hide nothing. The spans found in deeper layers
 are added to the base ones.
 
-Limits: a decompressed layer is at most ``MAX_LAYER`` bytes (a larger one is scanned up to there and flagged), which
-bounds memory against decompression bombs. Edge cases: null and empty texts have no spans; repeated rows are scanned
+Streams are decompressed over all their members or frames in pieces of ``PIECE`` bytes, each scanned before the next is
+made, so neither size nor number of layers is bounded and memory is. They may begin anywhere in decoded base64 or in bytes
+written with URL or character escapes; inside another stream, at its start. Pieces end where no pattern reaches across.
+
+Limits: where a decompressed layer has no such place (a line break, a control or non-ASCII character) for ``MAX_LAYER``
+bytes, the pieces overlap by ``OVERLAP``; zstd windows and xz memory above ``MAX_LAYER`` (xz: four times) aren't opened, and
+streams nest 64 deep at most. Edge cases: null and empty texts have no spans; repeated rows are scanned
 alike; runs that aren't base64 are left as they are.
 """
 
@@ -20,6 +25,7 @@ import base64
 import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -34,6 +40,8 @@ from .common import slices, table, tune_arrow
 
 KINDS = ("assign", "access", "hex")
 MAX_LAYER = 64 << 20
+PIECE = 1 << 20
+OVERLAP = 1 << 16
 _ASSIGN = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _HINTS = ("passw", "secret", "token", "key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -41,7 +49,14 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_CUT = re.compile(r"[+/]")
+_BREAK = re.compile(rb"[\x01-\x08\x0e-\x1f\x7f-\xff]")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\0|\x28\xb5\x2f\xfd|[\x08\x18\x28\x38\x48\x58\x68\x78](?=[\s\S])")
+_MARK = re.compile(r"%[0-9A-Fa-f]{2}|\\[xu]|&#")
+_URL_RUN = re.compile(r"[!#-;=?-\[\]-~]+")
+_URL_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|[\s\S]")
+_ESCAPE_RUN = re.compile(r"[\x20-\x7e]+")
+_ESCAPE_BYTE = re.compile(r"\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})|\\u\{0{0,4}([0-9A-Fa-f]{1,2})\}|\\U000000([0-9A-Fa-f]{2})|&#x0{0,4}([0-9A-Fa-f]{1,2});|&#0{0,4}(2[0-4][0-9]|25[0-5]|1[0-9]{2}|[0-9]{1,2});|\\([abfnrtv0\\'\"])|[\s\S]")
+_SHORT = dict(zip("abfnrtv0", (7, 8, 12, 10, 13, 9, 11, 0)))
 _SOME = re.compile(rb"[\x20-\x7e]{16}")  # no find, and nothing that decodes to one, is shorter
 _WIDE = (re.compile(rb"(?:[\t\r\n\x20-\x7e]\0){16,}"), re.compile(rb"(?:\0[\t\r\n\x20-\x7e]){16,}"))
 _PLAIN = re.compile(r"[A-Za-z]{1,19}\Z|[a-z]+\Z|[A-Z]?[a-z]+\Z|[A-Z]+\Z|[0-9a-f]+\Z")
@@ -130,22 +145,137 @@ def _escapes(layer: Layer) -> Layer | None:
     return _rewritten(layer, pieces, "escape") if pieces else None
 
 
-def _inflate(raw: bytes) -> tuple[bytes, str] | None:
-    """Decompressed bytes, up to MAX_LAYER."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 0x0F == 8 and raw[0] >> 4 <= 7 and int.from_bytes(raw[:2]) % 31 == 0):
-            return zlib.decompressobj(47).decompress(raw, MAX_LAYER), "zlib"
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, MAX_LAYER), "bzip2"
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor(memlimit=MAX_LAYER * 4).decompress(raw, MAX_LAYER), "xz"
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            return zstandard.ZstdDecompressor(max_window_size=MAX_LAYER).stream_reader(raw).read(MAX_LAYER), "zstd"
-    except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        return None
+def _opened(head: bytes):
+    """(name, a new decompressor) for the header of a stream."""
+    if head[:2] == b"\x1f\x8b" or (len(head) > 2 and head[0] & 0x0F == 8 and head[0] >> 4 <= 7 and int.from_bytes(head[:2]) % 31 == 0):
+        return "zlib", zlib.decompressobj(47)
+    if head[:3] == b"BZh":
+        return "bzip2", bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return "xz", lzma.LZMADecompressor(memlimit=MAX_LAYER * 4)
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return "zstd", zstandard.ZstdDecompressor(max_window_size=MAX_LAYER).decompressobj()
     return None
 
 
+def _members(chunks, used: list | None = None):
+    """Decompressed pieces of about a PIECE of all members or frames, up to a fault; then what follows them, as it is.
+    ``used`` gets the bytes that the members took."""
+    chunks, data, taken = iter(chunks), b"", 0
+    while True:
+        while len(data) < 6 and (more := next(chunks, None)) is not None:
+            data += more
+        if (got := _opened(data)) is None:
+            break
+        name, d = got
+        try:
+            while not d.eof:
+                if name == "zstd":  # has no bound on its output: 128 KB for 4 bytes at most
+                    if not data and not (data := next(chunks, b"")):
+                        return
+                    part, data = data[:64], data[64:]
+                    out = d.decompress(part)
+                    taken += len(part)
+                else:
+                    out = d.decompress(data, PIECE)
+                    taken += len(data)
+                    data = d.unconsumed_tail if name == "zlib" else b""
+                    taken -= len(data)
+                    if not out and not d.eof and not data and (name == "zlib" or d.needs_input) and not (data := next(chunks, b"")):
+                        return
+                if out:
+                    yield out
+        except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
+            return
+        taken -= len(d.unused_data)
+        data = d.unused_data + data
+        if used is not None:
+            used[:] = [taken]
+    if used is None:  # inside a stream: what isn't a stream is text
+        yield data
+        yield from chunks
+
+
+def _nested(chunks, how: tuple, marks: frozenset = frozenset()):
+    """(piece, path) of a decompressed stream, through the streams it begins with; a stream met before isn't opened again."""
+    chunks, head = iter(chunks), b""
+    while len(head) < 1 << 16 and (more := next(chunks, None)) is not None:
+        head += more
+    mark = hashlib.blake2b(head, digest_size=16).digest()
+    if (got := _opened(head)) is not None and mark not in marks and len(how) < 64:
+        if next(_members([head]), None):
+            yield from _nested(_members(itertools.chain([head], chunks)), (*how, got[0]), marks | {mark})
+            return
+    yield head, how
+    for piece in chunks:
+        yield piece, how
+
+
+def _pieces(parts):
+    """(bytes, path) for scanning: cut where no pattern reaches across, and overlapping where there is no such place."""
+    held, path = bytearray(), ()
+    for piece, how in parts:
+        if how != path and held:
+            yield bytes(held), path
+            held.clear()
+        path = how
+        held += piece
+        if len(held) < PIECE:
+            continue
+        tail = max(held.rfind(b"\n"), held.rfind(b"\0\0"), max((m.start() for m in _BREAK.finditer(held, len(held) - 4096)), default=-1)) + 1
+        if tail:
+            yield bytes(held[:tail]), path
+            del held[:tail]
+        elif len(held) >= MAX_LAYER:
+            yield bytes(held), path
+            del held[:-OVERLAP]
+    if held:
+        yield bytes(held), path
+
+
+def _streams(raw: bytes, span, path: tuple, read: list | None = None):
+    """The texts in the streams that begin anywhere in ``raw``; ``span`` gives the span from a byte to the end, and
+    ``read`` gets the bytes of whole streams."""
+    at = 0
+    while m := _MAGIC.search(raw, at):
+        at = m.start() + 1
+        if (got := _opened(raw[m.start() : m.start() + 6])) is None:
+            continue
+        used: list = []
+        mark = hashlib.blake2b(raw[m.start() : m.start() + (1 << 16)], digest_size=16).digest()
+        source = (raw[k : k + PIECE] for k in range(m.start(), len(raw), PIECE))
+        for piece, how in _pieces(_nested(_members(source, used), (got[0],), frozenset([mark]))):
+            if b"\0" in piece or _SOME.search(piece):
+                for text in _texts(piece):
+                    yield Layer(text, whole=span(m.start()), path=path + how)
+        if used:
+            at = m.start() + used[0]
+            if read is not None:
+                read.append((m.start(), at))
+
+
+def _written_bytes(layer: Layer):
+    """Streams whose bytes are written with URL or character escapes, other characters standing for themselves."""
+    for runs, tokens in ((_URL_RUN, _URL_BYTE), (_ESCAPE_RUN, _ESCAPE_BYTE)):
+        for run in runs.finditer(layer.text):
+            if sum(1 for _ in itertools.islice(_MARK.finditer(run[0]), 4)) < 4:  # a stream has more bytes to escape
+                continue
+            found = [*tokens.finditer(run[0])]
+            raw = bytearray()
+            for t in found:
+                code = next((g for g in t.groups()[:5] if g), None)
+                if tokens is _URL_BYTE:
+                    raw.append(int(t[1], 16) if t[1] else 32 if t[0] == "+" else ord(t[0]))
+                elif code:
+                    raw.append(int(code, 16) & 255)
+                elif t[6]:
+                    raw.append(int(t[6]) & 255)
+                else:
+                    raw.append(_SHORT.get(t[7], ord(t[7])) if t[7] else ord(t[0]))
+            starts = [run.start() + t.start() for t in found]
+            yield from _streams(bytes(raw), lambda k, starts=starts, end=run.end(): layer.span(starts[k], end), (*layer.path, "url" if tokens is _URL_BYTE else "escape"))
+
+
 def _readable(raw: bytes) -> str | None:
     try:
         text = raw.decode()
@@ -173,18 +303,6 @@ def _texts(raw: bytes):
     yield from _wide(raw)
 
 
-def _unwrap(raw: bytes) -> tuple[bytes, tuple]:
-    how = []
-    while got := _inflate(raw):
-        if got[0] == raw:
-            break
-        raw = got[0]
-        how.append(got[1])
-        if len(how) > 63:  # a stream that unpacks to ever new streams
-            break
-    return raw, tuple(how)
-
-
 def _mapped(layer: Layer, raw: bytes, at: int, path: tuple) -> Layer:
     """Bytes of the base64 that begins at ``at`` as Latin-1, each with the characters that encode it."""
     text = raw.decode("latin-1")
@@ -211,21 +329,19 @@ def _base64(layer: Layer):
             raw = base64.b64decode(part + "=" * (-len(part) % 4))
             at = m.start() + skip
             path = (*layer.path, "base64")
-            inner, how = (raw, ()) if skip else _unwrap(raw)
-            at_once = not skip and (how or _readable(raw) is not None)
+            at_once = not skip and _readable(raw) is not None
             if at_once:
-                for text in _texts(inner):
-                    yield Layer(text, whole=layer.span(*m.span()), path=path + how)
-            if not at_once and _SOME.search(raw):
-                yield _mapped(layer, raw, at, path)
+                for text in _texts(raw):
+                    yield Layer(text, whole=layer.span(*m.span()), path=path)
             for text in _wide(raw):
                 yield Layer(text, whole=layer.span(at, m.end()), path=path)
-            for c in _CUT.finditer(body, max(skip - 1, 0)):
-                if c.end() % 4 == skip % 4:
-                    inner, how = _unwrap(raw[(c.end() - skip) // 4 * 3 :])
-                    if how:
-                        for text in _texts(inner):
-                            yield Layer(text, whole=layer.span(m.start() + c.end(), m.end()), path=path + how)
+            read: list = []
+            yield from _streams(raw, lambda k, at=at, m=m: layer.span(at + k * 8 // 6, m.end()), path, read)
+            if not at_once:
+                for s, e in read:  # found in the stream, not again in its stored bytes
+                    raw = raw[:s] + bytes(e - s) + raw[e:]
+                if _SOME.search(raw):
+                    yield _mapped(layer, raw, at, path)
 
 
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], list[tuple]]:
@@ -233,9 +349,11 @@ def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     base = ordered(scan(text))
     spans, deep = dict.fromkeys(base), []
     seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()} if "%" in text or "\\" in text or "&#" in text else set()
-    work = [Layer(text)]
-    while work:
-        layer = work.pop()
+    work = [iter([Layer(text)])]
+    while work:  # layers are made one at a time, the deepest first, so that few are held
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
         if layer.path:
             mark = hashlib.blake2b(f"{layer.whole or layer.span(0, len(layer.text)) if layer.text else ''}{layer.text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
             if mark in seen:
@@ -247,8 +365,10 @@ def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
                     spans[span] = None
                     deep.append((span, layer.path, layer.text[s:e]))
         new = [_url(layer) if "%" in layer.text else None, _escapes(layer) if "\\" in layer.text or "&#" in layer.text else None]
-        work += [x for x in new if x is not None]
-        work += list(_base64(layer))
+        if any(new):
+            work.append(_written_bytes(layer))
+        work += [iter([x]) for x in new if x is not None]
+        work.append(_base64(layer))
     return base, ordered(spans), deep
 
 

@@ -1,12 +1,15 @@
 """Chat formatting, secret scans and the pipeline."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import io
+import lzma
 import random
 import re
 import tarfile
+import urllib.parse
 import zlib
 from collections import defaultdict
 
@@ -141,6 +144,36 @@ def test_joined_payloads(by):
             assert any(s == 0 for _, s, _ in found) and any(len(one) < s < e <= len(one) + 1 + len(two) for _, s, e in found)
 
 
+def percent(x):
+    return urllib.parse.quote(x)
+
+
+def escaped(x):
+    return repr(x)[2:-1]
+
+
+PACKS = [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress]
+
+
+@pytest.mark.parametrize("pack", PACKS)
+def test_streams_are_read_whole(pack):
+    """All members, beyond any prefix and across pieces; whatever writes the bytes."""
+    has = lambda t: any(k == "assign" for k, _, _ in secrets.find(t)[1])
+    if pack is not zlib.compress:
+        assert has(b64(pack(b"plain words") + pack(TOKEN.encode())))
+    assert has(b64(pack("é".encode() * 700_001 + TOKEN.encode())))
+    assert has(b64(pack(pack(b"0123 words \n" * 200_000 + TOKEN.encode()))))
+    assert not has(b64(pack(b"plain words " * 1000)))
+    for write in (percent, escaped, lambda x: "".join(f"%{c:02x}" for c in x), lambda x: "".join(f"\\x{c:02x}" for c in x), lambda x: "".join(f"&#{c};" for c in x)):
+        assert has(f"see {write(pack(TOKEN.encode()))} end")
+
+
+def test_secret_beyond_64_mib():
+    out = zlib.compressobj(9)
+    raw = b"".join(out.compress(b"\0" * (1 << 20)) for _ in range(65)) + out.compress(TOKEN.encode()) + out.flush()
+    assert any(k == "assign" for k, _, _ in secrets.find(b64(raw))[1])
+
+
 def test_secret_spans_in_context():
     text = "see password%3D%22abcdefghijkl123 now"
     assert secrets.find(text)[1] == [("assign", 4, 33)]
