@@ -5,7 +5,8 @@ from the two states at it, and a document's probabilities are the mean of its by
 its windows, softmaxed. It is written in numpy and trained by backpropagation through time with Adam, on the driver,
 on random windows of a bounded sample of labelled rows; scoring runs in Arrow batches over whole texts.
 
-Sample: about ``PER_CLASS`` rows per language (the bound); languages are those found, 200 at most.
+Sample: about ``PER_CLASS`` rows per language, beyond 200 languages as many fewer (the bound); all languages found are
+learned, and more than ``samples.MOST_CLASSES`` are an error.
 
 Edge cases: null, empty and letterless texts are ``und`` with score 0; repeated rows score alike; without a labelled
 row every text is ``und``; lang, source and doc_id are not inputs of a prediction.
@@ -183,14 +184,15 @@ class ByteGRU:
         length = np.minimum(window, off[1:][row] - begin)
         out = np.zeros((len(sizes), len(self.classes)), np.float64)
         step = np.arange(window)[:, None]
-        for k in range(0, len(begin), LANES):
-            b, size = begin[k : k + LANES], length[k : k + LANES]
+        lanes = max(1, min(LANES, LANES * 200 // len(self.classes)))  # many classes: as much memory
+        for k in range(0, len(begin), lanes):
+            b, size = begin[k : k + lanes], length[k : k + lanes]
             x = data[np.minimum(b[None] + step, len(data) - 1)].astype(np.intp)
             pad = step >= size[None]
             x[pad] = 256
             lp = self.position_log_probs(x)
             np.multiply(lp, ~pad[:, None], out=lp)
-            np.add.at(out, row[k : k + LANES], lp.sum(0).T)
+            np.add.at(out, row[k : k + lanes], lp.sum(0).T)
         return out
 
 

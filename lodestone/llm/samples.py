@@ -4,25 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import held_out
 
 
-def sample_ids(labelled: DataFrame, label: str, per_class: int, max_classes: int = 200) -> DataFrame:
+MOST_CLASSES = 2000
+
+
+def sample_ids(labelled: DataFrame, label: str, per_class: int) -> DataFrame:
     """(doc_id, label) of about ``per_class`` rows of each class, those of lowest hash; never a held-out row.
 
     Classes are counted first, so the share to keep is known and no class is gathered in one task. Rows without id or
-    label are left out. Beyond ``max_classes`` classes the commonest are learned.
+    label are left out. Every class has a row at least; beyond 200 classes each has fewer, so that the sample stays
+    bounded, and beyond ``MOST_CLASSES`` there is an error.
     """
+    unit = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     rows = labelled.select("doc_id", F.col(label).alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_classes).collect()
+    counts = rows.groupBy("label").agg(F.count("*"), F.min(unit)).limit(MOST_CLASSES + 1).collect()
     if not counts:
         return rows.limit(0)
-    share = F.lit(0.0)
-    for value, n in counts:
-        share = F.when(F.col("label") == F.lit(value), F.lit(min(1.0, per_class / n))).otherwise(share)
-    unit = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    return rows.where(unit < share)
+    if len(counts) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes in {label}")
+    per_class = max(1, min(per_class, 200 * per_class // len(counts)))
+    kind = StructType([StructField("label", rows.schema["label"].dataType), StructField("share", DoubleType()), StructField("least", DoubleType())])
+    shares = rows.sparkSession.createDataFrame([(value, min(1.0, per_class / n), least) for value, n, least in counts], kind)
+    return rows.join(F.broadcast(shares), "label").where((unit < F.col("share")) | (unit == F.col("least"))).select("doc_id", "label")
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int = 20_000) -> list[tuple[int, str, object]]:

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import language_id, pii, quality, samples, toxicity
@@ -117,6 +118,15 @@ def test_held_out_rows_are_never_learned(spark):
     assert samples.labelled_texts(docs, docs.limit(0), "lang", 5) == []
 
 
+def test_every_class_is_sampled(spark):
+    docs = spark.createDataFrame([(k, "some text", f"l{k % 500:03}") for k in range(5000)], "doc_id long, text string, lang string")
+    got = samples.labelled_texts(docs, docs, "lang", 2)
+    assert {r[2] for r in got} == {f"l{k % 500:03}" for k in range(5000) if not held(k)}
+    assert len(got) <= 1500
+    with pytest.raises(ValueError):
+        samples.sample_ids(docs.withColumn("lang", F.col("doc_id")), "lang", 2)
+
+
 def test_ngram_ratios_find_the_word():
     rng = np.random.default_rng(1)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
