@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -32,13 +32,17 @@ def sample_ids(labelled: DataFrame, label: str, per_class: int) -> DataFrame:
     return rows.join(F.broadcast(shares), "label").where((unit < F.col("share")) | (unit == F.col("least"))).select("doc_id", "label")
 
 
+def windows(text: Column, max_bytes: int = 20_000, sep: str = "") -> Column:
+    """A text; above ``max_bytes`` characters, 40 evenly spaced windows of it."""
+    n = 40
+    w = max_bytes // n
+    long = F.concat_ws(sep, *[F.substring(text, (F.length(text) * (k / n)).cast("int") + 1, F.lit(w)) for k in range(n)])
+    return F.when(F.length(text) > max_bytes, long).otherwise(text)
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int = 20_000) -> list[tuple[int, str, object]]:
     """[(doc_id, text, label)] of the sample, in the order of doc_id. The ids are a bounded number of rows and are
     broadcast; of a text above ``max_bytes`` characters, evenly spaced windows of it are learned from."""
     ids = sample_ids(labels, label, per_class).dropDuplicates(["doc_id"])
-    n = 40
-    w = max_bytes // n
-    long = F.concat_ws("", *[F.substring("text", (F.length("text") * (k / n)).cast("int") + 1, F.lit(w)) for k in range(n)])
-    text = F.when(F.length("text") > max_bytes, long).otherwise(F.col("text"))
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", text.alias("text"), "label").collect()
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", windows(F.col("text"), max_bytes).alias("text"), "label").collect()
     return sorted((r[0], r[1], r[2]) for r in rows)

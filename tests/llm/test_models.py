@@ -206,3 +206,19 @@ def test_personal_data(spark, sf, nasty, empty):
     for r in rows[:300]:
         base = pii.base_spans(r["text"] or "")
         assert [x[1:] for x in base if x[0] == "email"] == [m.span() for m in email.finditer(r["text"] or "")]
+
+
+def test_personal_data_sample(spark, monkeypatch):
+    """Held-out rows stay out, and stretches come from the whole text."""
+    got = []
+    monkeypatch.setattr(pii, "train", got.extend)
+    long = "first 1234 " + "word " * 9000 + " last@example.com"
+    pii.fit(table(spark, [(k, f"{k} 5678 {long}") for k in range(40)]))
+    assert sorted({int(t.split()[0]) for t in got}) == [k for k in range(40) if not held(k)]
+    assert all(15_000 < len(t) <= 20_100 for t in got)
+    monkeypatch.undo()
+    seen = []
+    monkeypatch.setattr(pii, "base_spans", lambda t: seen.append(t) or [])
+    monkeypatch.setattr(pii.SemiMarkov, "train", lambda self, data: [])
+    pii.train([("x " * 100).join(f"u{k}@example.com " for k in range(1, 41))], phrases=0)
+    assert len(set(seen)) == 6 and any("u40@" in t for t in seen)
