@@ -8,7 +8,8 @@ a suffix's first ``window`` words gives every location. Nothing is shuffled; the
 blocks of a bounded number of words, one pass over the documents per block.
 
 Edge cases: a null or wordless text has no words and is clean; an item without words matches nothing; an item
-of fewer words than the window is one window; repeated rows are scored alike; empty tables give no rows or no hits.
+of fewer words than the window is one window; repeated rows are scored alike; a null item_id
+is an item, and rows are told apart by more than their doc_id; empty tables give no rows or no hits.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_ALNUM, slices, table, tune_arrow, utf8, without, words
+from lodestone.scratch import materialize
+
+from .common import BYTE_ALNUM, slices, table, tune_arrow, utf8, words
 
 WINDOW = 10
 BLOCK_BYTES = 32_000_000  # text of the items in one broadcast block at most (a longer item is a block of its own)
@@ -32,7 +35,7 @@ class TestSuffixes:
     def __init__(self, ids: list[int], texts: list[str | None], window: int):
         data, off = utf8(pa.array([t or "" for t in texts], pa.large_string()))
         self.words, item, _, _ = words(data, off, BYTE_ALNUM)
-        self.ids = np.asarray(ids, np.int64)
+        self.ids = np.array(ids, object)  # None is an item too
         n = np.bincount(item, minlength=len(ids))
         start = np.concatenate([[0], np.cumsum(n)])
         self.at, self.item, self.depth = [], [], []
@@ -157,7 +160,7 @@ def _blocks(bench: DataFrame, window: int) -> list[TestSuffixes]:
     """The benchmark in blocks; its total size is checked before anything is collected."""
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = size // BLOCK_BYTES + 1
-    part = bench.select("item_id", "text", F.pmod(F.xxhash64("item_id"), F.lit(n)).alias("b")).where("item_id is not null")
+    part = bench.select("item_id", "text", F.pmod(F.xxhash64("item_id"), F.lit(n)).alias("b"))
     out = []
     for b in range(n):
         rows = part.where(F.col("b") == b).select("item_id", "text").collect()
@@ -165,6 +168,10 @@ def _blocks(bench: DataFrame, window: int) -> list[TestSuffixes]:
     return out
 
 
+def _null_last(x: int | None) -> tuple:
+    return x is None, x or 0
+
+
 SCHEMA = "doc_id long, n_words long, n_hit long, item_ids array<long>, longest long, longest_item long, hits array<struct<start:long,end:long>>"
 
 
@@ -204,22 +211,25 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
                     top = dict(zip(d[first].tolist(), zip(size[order][first].tolist(), test.ids[i[first]].tolist(), strict=True), strict=True))
                     both = np.unique(np.stack([doc, item]), axis=1)
                     for d, i in both.T.tolist():
-                        got.setdefault(d, []).append(int(test.ids[i]))
+                        got.setdefault(d, []).append(test.ids[i])
                 else:
                     n_hit, top, spans = np.zeros(n_docs, np.int64), {}, {}
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(set(got.get(k, ()))) for k in range(n_docs)], pa.list_(pa.int64())),
+                    [rows.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(set(got.get(k, ())), key=_null_last) for k in range(n_docs)], pa.list_(pa.int64())),
                      pa.array([top.get(k, (0, None))[0] for k in range(n_docs)], pa.int64()), pa.array([top.get(k, (0, None))[1] for k in range(n_docs)], pa.int64()),
                      pa.array([spans.get(k, []) for k in range(n_docs)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                     names=["doc_id", "n_words", "n_hit", "item_ids", "longest", "longest_item", "hits"])
 
         return find
 
-    parts = [docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(one(spark.sparkContext.broadcast(b)), SCHEMA) for b in blocks]
-    if len(parts) == 1:
-        return parts[0]
-    # Several blocks: hit passages of the same document are united over the blocks.
-    each = [p.withColumn("block", F.lit(k)) for k, p in enumerate(parts)]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if len(blocks) == 1:
+        return docs.mapInArrow(one(spark.sparkContext.broadcast(blocks[0])), SCHEMA)
+    # Several blocks: hit passages of the same row are united over the blocks, by a key that null and repeated ids don't share.
+    docs = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    ids = docs.select("row", "doc_id")
+    docs = docs.select(F.col("row").alias("doc_id"), "text")
+    each = [docs.mapInArrow(one(spark.sparkContext.broadcast(b)), SCHEMA) for b in blocks]
     found = each[0]
     for p in each[1:]:
         found = found.unionByName(p.where("n_hit > 0"))
@@ -233,22 +243,42 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
                 spans[-1][1] = max(e, spans[-1][1])
             else:
                 spans.append([s, e])
-        best = pdf.sort_values(["longest", "longest_item"], ascending=[False, True]).iloc[0]
-        ids = sorted({int(i) for x in pdf["item_ids"] for i in x})
-        return pd.DataFrame({"doc_id": [key[0]], "item_ids": [ids], "longest": [best["longest"]], "longest_item": [best["longest_item"]], "hits": [[{"start": s, "end": e} for s, e in spans]]})
+        return pd.DataFrame({"doc_id": [key[0]], "hits": [[{"start": s, "end": e} for s, e in spans]]})
 
-    many = found.where("n_hit > 0").groupBy("doc_id").applyInPandas(unite, "doc_id long, item_ids array<long>, longest long, longest_item long, hits array<struct<start:long,end:long>>")
+    hits = found.where("n_hit > 0").select("doc_id", "hits")
+    many = hits.groupBy("doc_id").applyInPandas(unite, "doc_id long, hits array<struct<start:long,end:long>>")
+    best = F.min(F.struct((-F.col("longest")).alias("size"), F.col("longest_item").isNull().alias("last"), F.col("longest_item").alias("item")))
+    items = found.where("n_hit > 0").groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), best.alias("best"))
+    many = many.join(items.select("doc_id", "item_ids", (-F.col("best.size")).alias("longest"), F.col("best.item").alias("longest_item")), "doc_id")
     base = each[0].select("doc_id", "n_words")
     out = base.join(many, "doc_id", "left")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(many.select("doc_id", F.col("hits").alias("h")), "doc_id")
+    texts = docs.join(many.select("doc_id", F.col("hits").alias("h")), "doc_id")
     words_in = F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a + F.size(F.regexp_extract_all(F.decode(F.substring(F.encode("text", "UTF-8"), (x.start + 1).cast("int"), (x.end - x.start).cast("int")), "UTF-8"), F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), 1)))
     hit = texts.groupBy("doc_id").agg(F.max(words_in).alias("n_hit"))
-    return out.join(hit, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("longest", F.lit(0).cast("long")).alias("longest"), "longest_item", F.coalesce("hits", F.array().cast("array<struct<start:long,end:long>>")).alias("hits"))
+    out = out.withColumnRenamed("doc_id", "row").join(hit.withColumnRenamed("doc_id", "row"), "row", "left").join(ids, "row")
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("longest", F.lit(0).cast("long")).alias("longest"), "longest_item", F.coalesce("hits", F.array().cast("array<struct<start:long,end:long>>")).alias("hits"))
 
 
 def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that share no window with the benchmark, in all their columns."""
-    return without(docs, contamination(docs, bench, window).where("n_hit > 0"))
+    tune_arrow(docs.sparkSession)
+
+    def rid(shared):
+        def keep(batches):
+            for rows in slices(batches):
+                data, off = utf8(rows.column("text"))
+                clean = np.ones(rows.num_rows, bool)
+                clean[search(data, off, shared.value)[3]] = False
+                yield rows.filter(pa.array(clean))
+
+        return keep
+
+    blocks = _blocks(bench, window)
+    for k, block in enumerate(blocks):  # row by row: neither null nor repeated ids matter
+        docs = docs.mapInArrow(rid(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+        if k + 1 < len(blocks):
+            docs = materialize(docs, "clean")
+    return docs
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,3 +243,12 @@ def test_pipeline_stages_keep_columns(spark, nasty, empty, tmp_path):
             docs = stage(spark, docs, str(tmp_path))
             assert docs.columns == nasty.columns
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= 0
+
+
+def test_stages_drop_copies_without_id(spark, tmp_path):
+    near = [f"w{j}" for j in range(60)]
+    rows = [(1, "same text of some words"), (None, "same text of some words"), (2, " ".join(near)), (None, " ".join([*near[:-1], "other"])), (None, "a row of its own here")]
+    got = corpus_pipeline.exact(spark, table(spark, rows), str(tmp_path))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == sorted((d or 0, t) for d, t in (rows[0], *rows[2:]))
+    got = corpus_pipeline.near(spark, got, str(tmp_path))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == sorted((d or 0, t) for d, t in (rows[0], rows[2], rows[4]))

@@ -207,6 +207,19 @@ def test_decontamination_edges(spark, nasty, empty):
     assert decontaminate.contamination(nasty, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("block", [32_000_000, 60])
+def test_decontamination_with_null_ids(spark, monkeypatch, block):
+    """Null items and null documents count, in one block or several."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    one, two = (" ".join(f"{c}{j}" for j in range(12)) for c in "kq")
+    docs = table(spark, [(None, one), (None, "clean text"), (1, one + " x " + two), (1, "clean twin"), (2, two)])
+    bench = spark.createDataFrame([(None, one), (7, two)], "item_id long, text string")
+    got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"], r["longest_item"]) for r in decontaminate.contamination(docs, bench).collect()), key=str)
+    assert got == sorted([(None, 12, 12, [None], None), (None, 2, 0, [], None), (1, 25, 24, [7, None], got[[g[1] for g in got].index(25)][4]), (1, 2, 0, [], None), (2, 12, 12, [7], 7)], key=str)
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns and sorted(r["text"] for r in kept.collect()) == ["clean text", "clean twin"]
+
+
 def check_packing(rows, got, path, capacity=2048):
     from tokenizers import Tokenizer
 
