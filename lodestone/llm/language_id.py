@@ -237,14 +237,18 @@ def identify(docs: DataFrame, net: ByteGRU | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, net: ByteGRU | None) -> DataFrame:
-    """The rows of ``docs``, in all their columns, that have a language; ``und`` is rejected."""
+    """The rows of ``docs``, in all their columns, that have a language; null and letterless texts are rejected, without
+    a network too."""
     tune_arrow(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def task(batches):
         for rows in slices(batches, limit=1_000_000):
-            pred, _ = _predict(rows, shared.value)
-            yield rows.filter(pa.array([p != "und" for p in pred]))
+            if shared.value is None:
+                keep = [bool(t and _LETTER.search(t)) for t in rows.column("text").to_pylist()]
+            else:
+                keep = [p != "und" for p in _predict(rows, shared.value)[0]]
+            yield rows.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(task, docs.schema)
 

@@ -222,3 +222,8 @@ def test_personal_data_sample(spark, monkeypatch):
     monkeypatch.setattr(pii.SemiMarkov, "train", lambda self, data: [])
     pii.train([("x " * 100).join(f"u{k}@example.com " for k in range(1, 41))], phrases=0)
     assert len(set(seen)) == 6 and any("u40@" in t for t in seen)
+
+
+def test_rows_stay_without_a_network(spark, nasty):
+    kept = language_id.keep_identified(nasty, None)
+    assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in NASTY} - {1, 2, 3, 12}
