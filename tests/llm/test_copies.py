@@ -262,21 +262,37 @@ def test_packing_round_trip(spark, nasty, empty):
 def test_packing_leaves_little(spark):
     rows = corpus(6, 600, 400)
     docs = table(spark, rows).repartition(2)
-    got = packing.pack_documents(docs, packing.tokenizer_path(), capacity=256, max_trim=64).collect()
+    got = packing.pack_documents(docs, packing.tokenizer_path(), capacity=256).collect()
     padding, windows = check_packing(rows, got, packing.tokenizer_path(), 256)
     assert padding / (256 * windows) < 0.02
 
 
 def test_window_count_rises():
-    """Pieces that can't be cut far enough need another window; nothing is lost."""
+    """Where the near-equal windows exceed the capacity there are more of them; nothing is lost."""
     pieces = [(k, 0, 60) for k in range(5)]
-    w = packing.pack(pieces, capacity=100, max_trim=0)
+    w = packing.pack(pieces, capacity=100, divisible=0)
     assert len(w) == 5 and sorted(p for g in w for p in g) == pieces
-    assert len(packing.pack(pieces, capacity=100, max_trim=100)) == 3
+    assert len(packing.pack(pieces, capacity=100, divisible=0.5)) == 3
+    rng = random.Random(7)
+    rose = 0
+    for _ in range(60):  # full bundles, as they come
+        pieces, room = [], 64 * 2048
+        while room:
+            n = min(room, int(rng.lognormvariate(6.3, 0.7)) + 1)
+            pieces.append((len(pieces), 0, n))
+            room -= n
+        w = packing.pack(pieces)
+        rose += len(w) > 64
+        assert len(w) <= 66 and all(sum(p[2] for p in g) <= 2048 for g in w)
+        assert len(packing.pack(pieces, divisible=0)) > 64
+    assert rose
+
+
+def test_packing_covers_everything():
     rng = random.Random(1)
     for _ in range(40):
         pieces = [(k, 0, rng.randint(1, 300)) for k in range(rng.randint(1, 40))]
-        w = packing.pack(pieces, 128, rng.choice([0, 16, 128]))
+        w = packing.pack(pieces, 128, rng.choice([0, 0.04, 0.3, 1]))
         assert all(sum(p[2] for p in g) <= 128 for g in w)
         cover = defaultdict(int)
         for d, s, n in (p for g in w for p in g):
