@@ -1,28 +1,33 @@
 """Exact deduplication against immutable snapshots.
 
-A snapshot is a table of digest groups plus one static binary-fuse filter per shard of its digests.
-A new batch is grouped by digest on its own (map-side combined, so a text that fills a third of the
-batch is a handful of partial rows), each distinct digest is screened by the filters, and only
-positives go on to the snapshot's exact buckets, where the normalised texts are compared byte by byte.
-
-Edge cases: repeated rows of one doc_id are one document and stay or go together; null text counts as the empty text; empty texts are equal to each other; an empty batch or
-snapshot gives an empty part; other columns are ignored.
+A snapshot is written once: its digest groups, and one static binary-fuse filter per shard of its digests. A new batch
+is grouped by digest on its own (map-side combined, so a text that fills a third of the batch is a handful of partial
+rows), each distinct digest is screened by the filters of every snapshot, and only positives go on to the snapshot's
+exact buckets, where the normalised texts are compared byte by byte.
+
+Edge cases: null text counts as the empty text; empty texts are equal to each other; rows of equal doc_id and text are one
+document and stay or go together, and rows of equal doc_id and other texts are told apart by their texts; a null doc_id is
+below all others, so its rows stay only where no equal text has an id; an empty batch or snapshot gives an empty part;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.scratch import materialize, shuffle_partitions
+from lodestone.scratch import drop, folder, materialize, shuffle_partitions
 
 from .common import SQL_LOWER, ascii_lower, mix, table
 
-SHARD_KEYS = 1_000_000  # digests per filter at most, on average: about 1.1 MB each
+SHARD_KEYS = 250_000  # digests of a shard, on average: its filter has about 0.3 MB
 BROADCAST_IDS = 500_000  # ids of positives sent to every executor at most: 8 MB
 
 
@@ -107,51 +112,110 @@ def build_filters(groups: DataFrame, shards: int) -> DataFrame:
     return keys.groupBy("shard").applyInPandas(build, "shard long, seed long, segment long, count long, cells binary")
 
 
+@dataclass(frozen=True)
+class Snapshot:
+    """``docs`` (doc_id, text) that don't change any more, with their digest groups and filters as tables."""
+
+    docs: DataFrame
+    groups: DataFrame
+    filters: DataFrame
+    shards: int
+
+    @classmethod
+    def write(cls, docs: DataFrame, path: str, digested: DataFrame | None = None) -> Snapshot:
+        """Writes groups and filters under ``path``. ``digested``: the digests of ``docs``, where they are known."""
+        spark = docs.sparkSession
+        group_digests(digests(docs, F.lit(True)) if digested is None else digested).write.parquet(f"{path}/groups")
+        groups = spark.read.parquet(f"{path}/groups")
+        shards = max(shuffle_partitions(spark), math.ceil(groups.count() / SHARD_KEYS))
+        build_filters(groups, shards).withColumn("shards", F.lit(shards)).write.parquet(f"{path}/filters")
+        return cls(docs, groups, spark.read.parquet(f"{path}/filters"), shards)
+
+    @classmethod
+    def read(cls, docs: DataFrame, path: str) -> Snapshot:
+        """A snapshot written before, of the same ``docs``."""
+        spark = docs.sparkSession
+        filters = spark.read.parquet(f"{path}/filters")
+        row = filters.select("shards").first()
+        return cls(docs, spark.read.parquet(f"{path}/groups"), filters, row[0] if row else 1)
+
+
 def screen(groups: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """Adds ``maybe``: false where the filters prove the digest absent from the snapshot."""
+    """Of groups (h, sha, size, keep_id, group_size), those that the filters don't prove absent from the snapshot.
+
+    A shard's rows are dealt to ``split`` groups by another hash, each beside the shard's filter, so that a batch much
+    larger than the snapshot has no larger groups."""
+    split = max(1, math.ceil(groups.count() / SHARD_KEYS / shards))
 
-    def check(pdf: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        keys = pdf["h"].to_numpy(np.int64).view(np.uint64)
-        row = f.iloc[0] if len(f) else None
-        hit = np.zeros(len(pdf), bool) if row is None else FuseFilter(int(row["seed"]), int(row["segment"]), int(row["count"]), np.frombuffer(row["cells"], np.uint8)).contains(keys)
-        return pd.DataFrame({"h": pdf["h"], "sha": pdf["sha"], "size": pdf["size"], "keep_id": pdf["keep_id"], "group_size": pdf["group_size"], "maybe": hit})
+    def check(rows: pa.Table, f: pa.Table) -> pa.Table:
+        hit = np.zeros(len(rows), bool)
+        if len(f):
+            row = f.slice(0, 1).to_pylist()[0]
+            hit = FuseFilter(row["seed"], row["segment"], row["count"], np.frombuffer(row["cells"], np.uint8)).contains(rows.column("h").to_numpy().view(np.uint64))
+        return rows.filter(pa.array(hit)).select(["h", "sha", "size", "keep_id", "group_size"])
 
-    left = groups.withColumn("shard", F.pmod("h", F.lit(shards)))
-    return left.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(check, "h long, sha string, size int, keep_id long, group_size long, maybe boolean")
+    left = groups.withColumn("shard", F.pmod("h", F.lit(shards))).withColumn("part", F.pmod(F.xxhash64("sha"), F.lit(split)))
+    right = filters.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(split - 1).cast("long"))))
+    return left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(check, "h long, sha string, size int, keep_id long, group_size long")
 
 
 def same_bytes(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (sha, old_id, keep_id): the sha of those whose normalised texts are the same bytes."""
-    ids = pairs.select("sha", F.explode(F.array("old_id", "keep_id")).alias("doc_id"))
-    n = ids.count()
+    """Of pairs (sha, old_id, keep_id): the sha of those whose normalised texts are the same bytes. Texts are fetched by id
+    and digest, so other texts of the same id don't matter."""
+    ids = pairs.select("sha", F.explode(F.array("old_id", "keep_id")).alias("id"))
+    few = ids.count() <= BROADCAST_IDS
     texts = docs.select("doc_id", ascii_lower(F.col("text")).alias("t"))
-    texts = texts.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id")
+    texts = texts.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("id"))).where(F.sha2("t", 256) == F.col("sha"))
     return texts.groupBy("sha").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("n")).where("n >= 2 and a = b").select("sha")
 
 
-def exact_dedup(docs: DataFrame, in_snapshot) -> DataFrame:
+def positives(docs: DataFrame, groups: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """(sha, keep_id, group_size) of the groups of a batch whose text the snapshot has, byte by byte, united with it."""
+    maybe = materialize(screen(groups, snapshot.filters, snapshot.shards), "screened")
+    old = snapshot.groups.select("h", "sha", "size", F.col("keep_id").alias("old_id"), F.col("group_size").alias("old_size"))
+    found = materialize(maybe.join(old, ["h", "sha", "size"]), "positives")
+    sure = same_bytes(docs, found.select("sha", "old_id", "keep_id"))
+    out = materialize(found.join(sure, "sha").select("sha", F.greatest("keep_id", "old_id").alias("keep_id"), (F.col("group_size") + F.col("old_size")).alias("group_size")), "united")
+    drop(maybe), drop(found)
+    return out
+
+
+def _rows(d: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of digests ``d`` with their class; ``classes`` has the texts of two rows or more."""
+    out = d.select("doc_id", "sha").join(classes, "sha", "left")
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def dedup_batch(batch: DataFrame, snapshots: list[Snapshot]) -> DataFrame:
+    """Every row of ``batch`` with keep_id, group_size, kept and text_sha256 over the batch and all ``snapshots``; their
+    rows aren't returned."""
+    d = materialize(digests(batch, F.lit(False)), "digests")
+    new = materialize(group_digests(d), "batch")
+    every = new.select("sha", "keep_id", "group_size")
+    for s in snapshots:
+        docs = batch.select("doc_id", "text").unionByName(s.docs.select("doc_id", "text"))
+        every = every.unionByName(positives(docs, new, s).join(new.select("sha", F.col("group_size").alias("own")), "sha").select("sha", "keep_id", (F.col("group_size") - F.col("own")).alias("group_size")))
+    classes = materialize(every.groupBy("sha").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")).where("group_size > 1"), "groups")
+    return _rows(d, classes)
+
+
+def exact_dedup(docs: DataFrame, in_snapshot: Column) -> DataFrame:
     """Every row of ``docs`` with keep_id, group_size, kept and text_sha256; of equal texts the largest doc_id stays.
 
     ``in_snapshot`` (Column) tells the rows of the earlier, immutable snapshot from those of the new batch.
     """
     spark = docs.sparkSession
     d = materialize(digests(docs, in_snapshot), "digests")
-    old = materialize(group_digests(d.where("old")), "snapshot")
-    new = group_digests(d.where("not old"))
-    shards = max(shuffle_partitions(spark), math.ceil(old.count() / SHARD_KEYS))
-    filters = materialize(build_filters(old, shards), "filters")
-    new = materialize(screen(new, filters, shards), "screened")
-    old_side = old.select("h", "sha", "size", F.col("keep_id").alias("old_id"), F.col("group_size").alias("old_size"))
-    found = materialize(new.where("maybe").join(old_side, ["h", "sha", "size"]), "positives")
-    sure = same_bytes(docs, found.select("sha", "old_id", "keep_id"))
-    both = found.join(sure, "sha").select("sha", F.greatest("keep_id", "old_id").alias("keep_id"), (F.col("group_size") + F.col("old_size")).alias("group_size"))
-    rest = old.select("sha", "keep_id", "group_size").unionByName(new.select("sha", "keep_id", "group_size")).join(both.select("sha"), "sha", "left_anti")
+    old = Snapshot.write(docs.where(in_snapshot), f"{folder(spark)}/snapshot-{uuid.uuid4().hex}", d.where("old"))
+    new = materialize(group_digests(d.where("not old")), "batch")
+    both = positives(docs, new, old)
+    rest = old.groups.select("sha", "keep_id", "group_size").unionByName(new.select("sha", "keep_id", "group_size")).where("group_size > 1").join(both.select("sha"), "sha", "left_anti")
     # Only groups of two rows or more need the way back to their rows. They are written first, so that this join has its
     # own exchanges and AQE can divide a hot digest's rows.
-    classes = materialize(both.unionByName(rest).where("group_size > 1"), "groups")
-    out = d.select("doc_id", "sha").join(classes, "sha", "left")
-    keep = F.coalesce("keep_id", "doc_id")
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    classes = materialize(both.unionByName(rest), "groups")
+    drop(new), drop(both)
+    return _rows(d, classes)
 
 
 def snapshot_half(doc_id):

@@ -137,11 +137,51 @@ def test_exact_dedup_edges(spark, nasty, empty):
     assert exact_dedup.exact_dedup(empty, F.lit(True)).count() == 0
 
 
+def plain_rows(rows):
+    """By rows: null ids are below all others, and rows of equal id and text are one document."""
+    groups = defaultdict(list)
+    for d, t in rows:
+        groups[fold(t)].append(d)
+    low = lambda d: (d is not None, d or 0)
+    return sorted(((d, max(groups[fold(t)], key=low), len(groups[fold(t)]), d == max(groups[fold(t)], key=low), hashlib.sha256(fold(t).encode()).hexdigest()) for d, t in rows), key=str)
+
+
+ODD_IDS = [(0, "a"), (0, "b"), (2, "a"), (None, "a"), (None, "c"), (None, "C"), (None, "d"), (3, "D"), (4, "e"), (4, "E"), (4, "e"), (1 << 60, "f"), ((1 << 60) + 1, "F"), (5, None), (6, "")]
+
+
+@pytest.mark.parametrize("condition", ["doc_id % 2 = 0", "text = lower(text)", "coalesce(doc_id, 0) < 3", "false"])
+def test_exact_dedup_with_odd_ids(spark, monkeypatch, condition):
+    monkeypatch.setattr(exact_dedup, "SHARD_KEYS", 1)
+    got = exact_dedup.exact_dedup(table(spark, ODD_IDS), F.expr(f"coalesce({condition}, false)")).collect()
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got), key=str) == plain_rows(ODD_IDS)
+
+
+def test_dedup_against_stored_snapshots(spark, tmp_path):
+    """A batch against two snapshots that were written before and are read again."""
+    rows = corpus(8, 180)
+    parts = [[r for r in rows if r[0] % 3 == k] for k in range(3)]
+    for k in (1, 2):
+        exact_dedup.Snapshot.write(table(spark, parts[k]), str(tmp_path / f"s{k}"))
+    snapshots = [exact_dedup.Snapshot.read(table(spark, parts[k]), str(tmp_path / f"s{k}")) for k in (1, 2)]
+    got = exact_dedup.dedup_batch(table(spark, parts[0]), snapshots).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == [r for r in plain_exact(rows) if r[0] % 3 == 0]
+    alone = exact_dedup.dedup_batch(table(spark, parts[0]), []).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in alone) == plain_exact(parts[0])
+
+
+def test_exact_dedup_query(spark, tmp_path):
+    rows = corpus(9)
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = exact_dedup.op10_exact_dedup(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == plain_exact(rows)
+
+
 def test_equal_digest_needs_equal_bytes(spark):
     """A pair whose texts differ is not joined, whatever its digest says."""
-    docs = table(spark, [(1, "Same"), (2, "sAME"), (3, "other")], False)
-    pairs = spark.createDataFrame([("p", 1, 2), ("q", 1, 3)], "sha string, old_id long, keep_id long")
-    assert [r[0] for r in exact_dedup.same_bytes(docs, pairs).collect()] == ["p"]
+    docs = table(spark, [(1, "Same"), (2, "sAME"), (2, "more"), (3, "other"), (4, "same")], False)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    pairs = spark.createDataFrame([(sha("same"), 1, 2), (sha("other"), 1, 3)], "sha string, old_id long, keep_id long")
+    assert [r[0] for r in exact_dedup.same_bytes(docs, pairs).collect()] == [sha("same")]
 
 
 def plain_contamination(rows, items):
