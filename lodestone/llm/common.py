@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.plans.loop import number_rows
 from lodestone.scratch import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,6 +43,26 @@ def without(docs: DataFrame, ids: DataFrame, most: int = 500_000) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", "left_anti").select(*docs.columns)
 
 
+def identified(docs: DataFrame) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """``docs`` with ids of their own, above all others, for rows without one, and the way back: such ids are null again."""
+    if docs.where("doc_id is null").isEmpty():
+        return docs, lambda c: c
+    far = F.lit(1 << 62)
+    own = far + F.monotonically_increasing_id()
+    return materialize(docs.select(F.coalesce("doc_id", own).alias("doc_id"), "text"), "identified"), lambda c: F.when(c < far, c)
+
+
+def rows_of_their_own(docs: DataFrame, nulls_last: bool) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(doc_id, text) with unique doc_ids in the order of those of ``docs``, and a function that gives back ``docs`` less the
+    rows whose doc_id here is in a table. Where ids are unique already, they are taken as they are."""
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        return docs, lambda dropped: without(docs, dropped)
+    whole = docs.select("doc_id", "text", F.struct("*").alias("whole"))
+    order = F.col("doc_id").asc_nulls_last() if nulls_last else F.col("doc_id").asc_nulls_first()
+    rows = materialize(number_rows(whole, [order], "row").select(F.col("row").alias("doc_id"), "text", "whole"), "rows")
+    return rows.select("doc_id", "text"), lambda dropped: without(rows, dropped).select("whole.*")
+
+
 SQL_LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
 

@@ -8,14 +8,18 @@
    pairs with overlap counts, which are summed over the blocks, and pairs below the bound that their sizes imply
    are discarded. A long column gives no pairs: its rows join the group of the column's pivot set, so that a
    cluster of copies forms a few groups however many n-grams it shares.
-4. Groups are divided into blocks of bounded size, and each pair of blocks is one dense product over the n-grams
-   that at least two of its sets have; it returns a spanning forest of the pairs at or above the threshold.
+4. The members of a large group are compared with its pivot first: what links with it is in its component already, so
+   only pairs with a member that doesn't are still open. Members are dealt to blocks of bounded size by classes of set
+   size, so that blocks whose sizes can't reach the threshold never meet. Each pair of blocks is one dense product over
+   the n-grams that at least two of its sets have; it returns a spanning forest of the pairs at or above the threshold.
 5. Surviving pairs are checked on the full sets; links are contracted to components.
 
 All of this is exact; no column, group or candidate is capped. Equal sets are one row throughout.
 
 Edge cases: a null, empty or wordless text has the empty set and is linked with nothing; fewer words than n are one
-n-gram; repeated rows are equal sets; other columns are ignored; empty tables give no rows.
+n-gram; repeated rows are equal sets; rows of one doc_id with several texts are several sets; a row without a doc_id is
+linked like any other and its id is above all others (so a component of such rows alone has a null name); other columns
+are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,13 +30,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.contract import connected_components
 from lodestone.scratch import drop, materialize, shuffle_partitions
 
-from .common import BYTE_SPACE, mix, signed, slices, stream, table, tune_arrow, utf8, words
+from .common import BYTE_SPACE, identified, mix, signed, slices, stream, table, tune_arrow, utf8, words
 
 N, THRESHOLD = 5, 80  # words, per cent
 LONG_COLUMN = 16  # sets in a column from which it joins groups instead of giving pairs
@@ -40,6 +45,7 @@ HOT_COUNT = 50_000  # counter from which an n-gram's column is a group of its ow
 BLOCK_SETS, BLOCK_NGRAMS = 1024, 1_000_000  # sets and n-grams in one block of a group
 ROWS_IN_PART = 1_000_000  # incidence rows of one task, on average
 CHUNK = 1 << 14
+FAN_IN = 256  # partial counters added in one task
 BROADCAST_IDS = 500_000
 
 _K = stream(11, 64) | np.uint64(1)
@@ -81,7 +87,7 @@ def _kept(n: int, per_cent: int) -> int:
 
 
 def measure(docs: DataFrame, bits: int, n: int) -> DataFrame:
-    """Rows (doc_id, n, s1, s2) of the documents, and rows (chunk, counts) of each task's counters."""
+    """Rows (doc_id, n, s1, s2) of the documents, and rows (n, chunk, counts) of each task's counters, n the task's number."""
 
     def task(batches):
         counts = np.zeros(1 << bits, np.uint32)
@@ -102,25 +108,33 @@ def measure(docs: DataFrame, bits: int, n: int) -> DataFrame:
             press = zstandard.ZstdCompressor(level=1)
             parts = [press.compress(counts[k : k + CHUNK].tobytes()) for k in range(0, len(counts), CHUNK)]
             none = pa.nulls(len(parts)).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "n", "s1", "s2", "chunk", "counts"])
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([none, pa.array([part] * len(parts), pa.int64()), none, none, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "n", "s1", "s2", "chunk", "counts"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, n long, s1 long, s2 long, chunk int, counts binary")
 
 
 def counters(stats: DataFrame, bits: int) -> np.ndarray:
-    """The counters summed over all tasks: a fixed number of bytes, whatever the input."""
+    """The counters summed over all tasks, ``FAN_IN`` at a time: a fixed number of bytes, whatever the input."""
     width = min(CHUNK, 1 << bits)
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros(width, np.uint64)
         for x in pdf["counts"]:
             out += np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint32)
-        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "counts": [np.minimum(out, 2**32 - 1).astype(np.uint32).tobytes()]})
+        packed = zstandard.ZstdCompressor(level=1).compress(np.minimum(out, 2**32 - 1).astype(np.uint32).tobytes())
+        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "n": [int(pdf["n"].iloc[0])], "counts": [packed]})
 
-    rows = stats.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInPandas(total, "chunk int, counts binary").collect()
+    rows = stats.where("chunk is not null").select("chunk", "n", "counts")
+    most = rows.agg(F.max("n")).first()[0] or 0
+    while True:
+        rows = rows.withColumn("n", F.floor(F.col("n") / FAN_IN).cast("long")).groupBy("chunk", "n").applyInPandas(total, "chunk int, n long, counts binary")
+        if most < FAN_IN:
+            break
+        rows, most = materialize(rows, "counters"), most // FAN_IN
     out = np.zeros(1 << bits, np.uint32)
-    for r in rows:
-        out[r[0] * width : (r[0] + 1) * width] = np.frombuffer(r[1], np.uint32)
+    for r in rows.collect():
+        out[r[0] * width : (r[0] + 1) * width] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r[2]), np.uint32)
     return out
 
 
@@ -236,8 +250,12 @@ def _forest(linked: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _product(pdf: pd.DataFrame, per_cent: int) -> pd.DataFrame:
-    pdf = pdf.drop_duplicates("rep")
-    ids = pdf["rep"].to_numpy(np.int64)
+    """Forest of the links inside a block (i = j), or between the members of block i and those of block j."""
+    pdf = pdf.drop_duplicates("key")
+    apart = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+    pdf = pdf.sort_values("own", kind="stable") if apart else pdf
+    cut = int((pdf["own"] == pdf["i"]).sum()) if apart else 0
+    ids = pdf["key"].to_numpy(np.int64)
     sets = [np.asarray(x, np.int64) for x in pdf["grams"]]
     size = np.array([len(x) for x in sets], np.int64)
     flat = np.concatenate(sets)
@@ -248,37 +266,77 @@ def _product(pdf: pd.DataFrame, per_cent: int) -> pd.DataFrame:
     row, column = row[use], number[column[use]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    overlap = np.zeros((len(sets), len(sets)), np.float32)
+    left, right = (slice(0, cut), slice(cut, None)) if apart else (slice(None), slice(None))
+    overlap = np.zeros((len(ids[left]), len(ids[right])), np.float32)
     width = 4096
     for c in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         lo, hi = np.searchsorted(column, [c, c + width])
         x = np.zeros((len(sets), width), np.float32)
         x[row[lo:hi], column[lo:hi] - c] = 1
-        overlap += x @ x.T
+        overlap += x[left] @ x[right].T
     inter = overlap.astype(np.int64)
-    linked = inter * 100 >= per_cent * (size[:, None] + size[None, :] - inter)
+    hit = inter * 100 >= per_cent * (size[left][:, None] + size[right][None, :] - inter)
+    if apart:
+        linked = np.zeros((len(sets), len(sets)), bool)
+        linked[left, right] = hit
+        linked |= linked.T
+    else:
+        linked = hit
     a, b = _forest(linked, ids)
     return pd.DataFrame({"src": a, "dst": b})
 
 
 def full_sets(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """(key, rep, grams) of the documents in ``reps`` (key, doc_id)."""
+    """(key, grams) of the documents in ``reps`` (key, doc_id); other texts of the same id are left out."""
     few = reps.count() <= BROADCAST_IDS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(reps) if few else reps, "doc_id")
 
     def task(batches):
         for r in slices(batches):
-            grams = [pa.array(signed(g)) for g in _sets(*utf8(r.column("text")), n)]
+            sets = [*_sets(*utf8(r.column("text")), n)]
+            own = np.array([_signature(g)[0] for g in sets], np.int64) == r.column("key").to_numpy(zero_copy_only=False)
+            grams = [pa.array(signed(g)) for g, ok in zip(sets, own, strict=True) if ok]
             off = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32)
             flat = pa.concat_arrays(grams) if grams else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([r.column("key"), r.column("doc_id"), pa.ListArray.from_arrays(pa.array(off), flat)], names=["key", "rep", "grams"])
+            own = pa.array(own)
+            yield pa.RecordBatch.from_arrays([r.column("key").filter(own), pa.ListArray.from_arrays(pa.array(off), flat)], names=["key", "grams"])
+
+    return rows.select("key", "text").mapInArrow(task, "key long, grams array<long>").dropDuplicates(["key"])
 
-    return rows.select("key", "doc_id", "text").mapInArrow(task, "key long, rep long, grams array<long>").dropDuplicates(["key", "rep"])
 
+def _checked(pairs: DataFrame, per_cent: int) -> DataFrame:
+    """Of pairs (src, x, dst, y, ...) with their sets, whether they are linked, as column ``linked``."""
+    inter = F.size(F.array_intersect("x", "y"))
+    return pairs.withColumn("linked", inter * F.lit(100).cast("long") >= (F.size("x") + F.size("y") - inter) * F.lit(per_cent).cast("long"))
+
+
+def group_links(groups: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Links (src, dst) that connect what all links inside the groups (g, key, nb) connect."""
+    size = groups.groupBy("g").agg((F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("nb") / BLOCK_NGRAMS)) > 1).alias("large"), F.min("key").alias("pivot"))
+    members = groups.join(size, "g")
+    # Large groups: members that link with the pivot are in its component; only pairs with one that doesn't are open.
+    pivots = sets.select(F.col("key").alias("pivot"), F.col("grams").alias("y"))
+    star = members.where("large").join(sets.select("key", F.col("grams").alias("x")), "key").join(pivots, "pivot")
+    star = materialize(_checked(star, per_cent).select("g", "key", "nb", "pivot", "linked"), "star")
+    step = max(math.log(100 / per_cent) * (1 + 1e-9), 1e-6)  # sizes that can be linked are at most one class apart
+    small = members.where("not large").select("g", "key", "nb", F.lit(0).cast("long").alias("q"), F.lit(1).cast("long").alias("far"))
+    large = star.select("g", "key", "nb", F.floor(F.log(F.col("nb").cast("double")) / step).cast("long").alias("q"), F.when(F.col("linked"), 0).otherwise(1).cast("long").alias("far"))
+    members = materialize(small.unionByName(large), "members")
+    blocks = members.groupBy("g", "q", "far").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("nb") / BLOCK_NGRAMS)).cast("long").alias("blocks"))
+    kinds = blocks.groupBy("g").agg(F.collect_list(F.struct("q", "far", "blocks")).alias("kinds"))  # a few dozen, whatever the group
+    code = lambda q, far, b: (q * 2 + far) * F.lit(1 << 32) + b
+    jobs = members.join(blocks, ["g", "q", "far"]).withColumn("own", code(F.col("q"), F.col("far"), F.pmod(F.xxhash64("key", "g"), F.col("blocks")))).join(kinds, "g")
+    meets = F.filter("kinds", lambda k: (F.abs(k.q - F.col("q")) <= 1) & (k.far + F.col("far") > 0))
+    jobs = jobs.select("g", "key", "own", F.explode(meets).alias("k")).select("g", "key", "own", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k.blocks") - 1)).alias("b"))
+    other = code(F.col("k.q"), F.col("k.far"), F.col("b"))
+    jobs = jobs.select("g", "key", "own", F.least("own", other).alias("i"), F.greatest("own", other).alias("j"))
+    dense = jobs.join(sets, "key").groupBy("g", "i", "j").applyInPandas(lambda pdf: _product(pdf, per_cent), "src long, dst long")
+    return star.where("linked").select(F.col("key").alias("src"), F.col("pivot").alias("dst")).unionByName(dense)
 
-def links(docs: DataFrame, n: int = N, per_cent: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(documents with n, s1, s2 and rep; links src, dst between representatives). ``rep`` is the smallest doc_id of an
-    equal set. The links connect exactly what all pairs at or above the threshold connect."""
+
+def links(docs: DataFrame, n: int = N, per_cent: int = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents doc_id, n, s1, s2; classes of equal sets n, s1, s2, rows, rep; links src, dst between classes by s1). ``rep``
+    is the smallest doc_id of a class. The links connect exactly what all pairs at or above the threshold connect."""
     spark = docs.sparkSession
     tune_arrow(spark)
     rows = docs.count()
@@ -286,7 +344,7 @@ def links(docs: DataFrame, n: int = N, per_cent: int = THRESHOLD) -> tuple[DataF
     stats = materialize(measure(docs, bits, n), "measure")
     shared = spark.sparkContext.broadcast(counters(stats, bits))
     members = stats.where("chunk is null").select("doc_id", "n", "s1", "s2")
-    reps = materialize(members.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = materialize(members.where("n > 0").groupBy("n", "s1", "s2").agg(F.count("*").alias("rows"), F.min("doc_id").alias("rep")), "classes")
     emitted = reps.agg(F.coalesce(F.sum(F.col("n") * (100 - per_cent) / 100 + 1), F.lit(0.0))).first()[0]
     parts = max(shuffle_partitions(spark), math.ceil(emitted / ROWS_IN_PART))
     dealt = incidence(docs, shared, bits, n, per_cent).repartition(parts, F.when(F.col("n") < 0, F.xxhash64("key")).otherwise(F.col("h")))
@@ -302,16 +360,10 @@ def links(docs: DataFrame, n: int = N, per_cent: int = THRESHOLD) -> tuple[DataF
     wanted = reps.select(F.col("s1").alias("key"), F.col("rep").alias("doc_id")).join(keys, "key")
     sets = materialize(full_sets(docs, wanted, n), "sets")
 
-    left = pairs.join(sets.withColumnsRenamed({"key": "a", "rep": "src", "grams": "x"}), "a")
-    both = left.join(sets.withColumnsRenamed({"key": "b", "rep": "dst", "grams": "y"}), "b")
-    inter = F.size(F.array_intersect("x", "y"))
-    checked = both.select("src", "dst", inter.alias("i"), (F.size("x") + F.size("y") - inter).alias("u")).where(f"i * 100L >= u * {per_cent}L").select("src", "dst")
-
-    size = groups.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("nb") / BLOCK_NGRAMS)).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("key", "g"), F.col("blocks")).cast("int")
-    jobs = groups.join(size, "g").withColumn("own", block).select("g", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    jobs = jobs.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key")
-    dense = jobs.join(sets, "key").groupBy("g", "i", "j").applyInPandas(lambda pdf: _product(pdf, per_cent), "src long, dst long")
+    left = pairs.join(sets.withColumnsRenamed({"key": "a", "grams": "x"}), "a")
+    both = left.join(sets.withColumnsRenamed({"key": "b", "grams": "y"}), "b")
+    checked = _checked(both, per_cent).where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    dense = group_links(groups, sets, per_cent)
     found = materialize(checked.unionByName(dense).where("src <> dst"), "links")
     drop(pairs), drop(groups), drop(sets)
     return members, reps, found
@@ -319,12 +371,14 @@ def links(docs: DataFrame, n: int = N, per_cent: int = THRESHOLD) -> tuple[DataF
 
 def near_duplicates(docs: DataFrame, n: int = N, per_cent: int = THRESHOLD) -> DataFrame:
     """Every row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    docs, named = identified(docs)
     members, reps, found = links(docs, n, per_cent)
-    comps = connected_components(found)
-    classes = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    # Classes of one row that are linked with nothing need no way back.
-    out = members.join(classes, ["n", "s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    comps = materialize(connected_components(found).withColumnRenamed("node", "s1"), "components")
+    names = reps.join(comps, "s1").groupBy("component").agg(F.min("rep").alias("name"))
+    classes = reps.join(comps.join(names, "component"), "s1", "left").select("n", "s1", "s2", "rows", F.coalesce("name", "rep").alias("component_id"), F.col("name").isNotNull().alias("linked"))
+    # classes of one row that are linked with nothing need no way back
+    out = members.join(classes.where("rows > 1 or linked").drop("rows", "linked"), ["n", "s1", "s2"], "left")
+    return out.select(named(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), named(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

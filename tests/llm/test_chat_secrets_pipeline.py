@@ -245,6 +245,15 @@ def test_pipeline_stages_keep_columns(spark, nasty, empty, tmp_path):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= 0
 
 
+def test_stages_tell_rows_of_one_id_apart(spark, tmp_path):
+    near = [f"w{j}" for j in range(60)]
+    rows = [(0, "a copy of these few words"), (0, " ".join(near)), (2, "a copy of these few words"), (2, " ".join([*near[:-1], "other"])), (2, "a text of its own"), (2, "a text of its own")]
+    got = corpus_pipeline.exact(spark, table(spark, rows).withColumn("whole", F.lit(3)), str(tmp_path))
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted([rows[1], rows[2], rows[3], rows[4]]) and got.columns[-1] == "whole"
+    got = corpus_pipeline.near(spark, got, str(tmp_path))
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted([rows[1], rows[2], rows[4]])
+
+
 def test_stages_drop_copies_without_id(spark, tmp_path):
     near = [f"w{j}" for j in range(60)]
     rows = [(1, "same text of some words"), (None, "same text of some words"), (2, " ".join(near)), (None, " ".join([*near[:-1], "other"])), (None, "a row of its own here")]

@@ -71,14 +71,61 @@ def plain_near(rows):
 
 
 @pytest.mark.parametrize("seed, blocks", [(1, 1024), (2, 7)])
-def test_ngram_join_against_plain(spark, monkeypatch, seed, blocks):
+def test_ngram_join_against_plain(spark, monkeypatch, tmp_path, seed, blocks):
+    """As the query and with its smallest blocks and combinations."""
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", blocks)
+    monkeypatch.setattr(ngram_join, "FAN_IN", 2 if blocks == 7 else 256)
     rows = corpus(seed, 240)
-    got = ngram_join.near_duplicates(table(spark, rows)).collect()
+    table(spark, rows).repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    got = ngram_join.op5_ngram_jaccard_join(spark, str(tmp_path)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_near(rows)
     assert max(len([1 for v in plain_near(rows).values() if v[1] == c]) for c in {v[1] for v in plain_near(rows).values()}) > ngram_join.LONG_COLUMN
 
 
+@pytest.mark.parametrize("seed, per_cent", [(1, 80), (2, 50), (3, 100)])
+def test_group_links_against_all_pairs(spark, monkeypatch, seed, per_cent):
+    """Components of large and small groups of sets around several hubs, of sizes that differ widely."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 6)
+    rng, sets, groups = random.Random(seed), {}, []
+    for g in range(4):
+        hubs = [sorted(rng.sample(range(1000 * g, 1000 * g + 400), n)) for n in (10, 12, 60, 70, 200)]
+        for _ in range((3, 60, 60, 90)[g]):
+            s = set(rng.choice(hubs))
+            for x in rng.sample(sorted(s), rng.randint(0, len(s) // 5)):
+                s.remove(x)
+            s |= {rng.randrange(10_000) for _ in range(rng.randint(0, 3))}
+            sets[len(sets)] = sorted(s)
+            groups.append((g, len(sets) - 1, len(s)))
+    found = ngram_join.group_links(spark.createDataFrame(groups, "g long, key long, nb int"), spark.createDataFrame(list(sets.items()), "key long, grams array<long>"), per_cent).collect()
+
+    def parts(pairs):
+        root = {k: k for k in sets}
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            root[max(top(a), top(b))] = min(top(a), top(b))
+        return {k: top(k) for k in sets}
+
+    alike = lambda a, b: len(set(sets[a]) & set(sets[b])) * 100 >= len(set(sets[a]) | set(sets[b])) * per_cent
+    own = {k: g for g, k, _ in groups}
+    want = [(a, b) for a in sets for b in sets if a < b and own[a] == own[b] and alike(a, b)]
+    assert all(alike(r["src"], r["dst"]) or parts(want)[r["src"]] == parts(want)[r["dst"]] for r in found)
+    assert parts((r["src"], r["dst"]) for r in found) == parts(want) and len(set(parts(want).values())) > 4
+
+
+def test_ngram_join_with_odd_ids(spark):
+    """Null ids are linked too, and an id with several texts is several documents."""
+    w = [f"w{j}" for j in range(60)]
+    x = [f"x{j}" for j in range(60)]
+    rows = [(4, " ".join(w)), (None, " ".join(w[:-1] + ["z"])), (None, " ".join(x)), (None, " ".join(x[:-1] + ["z"])), (7, "one text of id seven here"), (7, " ".join(w[:-1])), (7, " ".join(["v", *x[1:]])), (None, "alone among all the others here"), (None, None), (9, "One text of id seven here")]
+    got = ngram_join.near_duplicates(table(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == sorted([(4, 56, 4), (None, 56, 4), (None, 56, 7), (None, 56, 7), (7, 2, 7), (7, 55, 4), (7, 56, 7), (None, 2, None), (None, 0, None), (9, 2, 7)], key=str)
+
+
 def test_ngram_join_hot_columns_are_groups(spark):
     """Rows marked hot (n < 0) become members of their column's group; short columns give counted pairs, long ones groups."""
     rows = [(5, k, -9) for k in range(3)] + [(6, k, 9) for k in range(2)] + [(7, k, 9) for k in range(2)] + [(8, k, 9) for k in range(20)] + [(9, 1, 10), (9, 2, 100)]
