@@ -5,13 +5,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, exact_dedup, language_id, ngram_join, packing
-from lodestone.llm.common import table, without
+from lodestone.llm.common import rows_of_their_own, table
 from lodestone.scratch import materialize
 
 
@@ -20,25 +18,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 
-def without_copies(docs: DataFrame, dropped: Callable[[DataFrame], DataFrame], low: bool) -> DataFrame:
-    """``docs`` less the rows that ``dropped`` names by doc_id; rows without an id get one of their own, below or above all others, meanwhile."""
-    if docs.where("doc_id is null").isEmpty():
-        return without(docs, dropped(docs))
-    far = F.lit(1 << 62)
-    own = F.monotonically_increasing_id()
-    named = materialize(docs.withColumn("doc_id", F.coalesce("doc_id", own - F.lit((1 << 63) - 1) if low else own + far)), "named")
-    mine = F.col("doc_id") < -far if low else F.col("doc_id") >= far
-    return without(named, dropped(named)).withColumn("doc_id", F.when(~mine, F.col("doc_id")))
-
-
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    return without_copies(docs, lambda d: exact_dedup.exact_dedup(d, exact_dedup.snapshot_half(F.col("doc_id"))).where("not kept"), low=True)
+    """Of equal texts the row with the largest doc_id stays; rows without an id or with another's are rows of their own, null
+    ids below all others."""
+    named, less = rows_of_their_own(docs, nulls_last=False)
+    return less(exact_dedup.exact_dedup(named, exact_dedup.snapshot_half(F.col("doc_id"))).where("not kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id stays."""
-    return without_copies(docs, lambda d: ngram_join.near_duplicates(d).where("component_id <> doc_id"), low=False)
+    """Of each group of near copies the row with the smallest doc_id stays; as in ``exact``, but null ids are above all others."""
+    named, less = rows_of_their_own(docs, nulls_last=True)
+    return less(ngram_join.near_duplicates(named).where("component_id <> doc_id"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
