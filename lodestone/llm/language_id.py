@@ -5,11 +5,12 @@ from the two states at it, and a document's probabilities are the mean of its by
 its windows, softmaxed. It is written in numpy and trained by backpropagation through time with Adam, on the driver,
 on random windows of a bounded sample of labelled rows; scoring runs in Arrow batches over whole texts.
 
-Sample: about ``PER_CLASS`` rows per language, beyond 200 languages as many fewer (the bound); all languages found are
-learned, and more than ``samples.MOST_CLASSES`` are an error.
+Sample: about ``PER_CLASS`` rows per language, beyond 200 languages as many fewer, whole texts, ``samples.MOST_BYTES``
+together (the bounds); all languages found are learned, and more than ``samples.MOST_CLASSES`` are an error.
 
-Edge cases: null, empty and letterless texts are ``und`` with score 0; repeated rows score alike; without a labelled
-row every text is ``und``; lang, source and doc_id are not inputs of a prediction.
+Edge cases: null, empty and letterless texts are ``und`` with score 0; repeated rows score alike, a null doc_id is scored
+like any other; of equal probabilities the first language in the alphabet is taken; empty tables give no rows; other columns
+are ignored; without a labelled row every text is ``und``; lang, source and doc_id are not inputs of a prediction.
 """
 
 from __future__ import annotations

@@ -9,9 +9,11 @@ conditional likelihood (forward-backward over the candidates, Adam) on a bounded
 gold segments, and on rewritten copies of them in which addresses are spelled out and numbers regrouped. Predicted spans
 that overlap no base span are added to the base ones.
 
-Sample: about ``SAMPLE`` texts that contain a run of four digits or an @ and aren't held out; of a text above 20,000
-characters evenly spaced windows, and of each text ``REGIONS`` stretches, evenly drawn (the bounds). Edge cases: null and empty texts have no spans;
-repeated rows are scanned alike; without a sample the built-in training phrases alone train the model.
+Sample: ``SAMPLE`` texts at most that contain a run of four digits or an @ and aren't held out, whole,
+``samples.MOST_BYTES`` together; they are learned from one after the other until they had ``REGIONS`` stretches, and a text
+that has more than a tenth of that is left out (the bounds). Edge cases: null and empty texts have no spans; repeated rows are
+scanned alike, a null doc_id like any other; of equal segmentations the one with fewer entities is taken; empty tables give no
+rows; other columns are ignored; without a sample the built-in training phrases alone train the model.
 """
 
 from __future__ import annotations
@@ -26,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.scratch import drop, materialize
+
 from .common import held_out, slices, table, tune_arrow
-from .samples import windows
+from .samples import MOST_BYTES, within
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS, SAMPLE, MARGIN, REGIONS = 26, 1500, 48, 6
+MAX_TOKENS, SAMPLE, MARGIN, REGIONS = 26, 1500, 48, 3000
 _LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -86,12 +90,17 @@ _MARKS = {"at": 1, "AT": 1, "dot": 2, "DOT": 2}
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches around what could belong to an entity; neighbours are joined."""
+    """Stretches of whole words around what could belong to an entity; neighbours are joined."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
-        s, e = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(e, out[-1][1])
+        floor = out[-1][1] if out else 0
+        s, e = max(floor, m.start() - MARGIN), max(floor, min(len(text), m.end() + MARGIN))
+        while s > floor and not text[s - 1].isspace():
+            s -= 1
+        while e < len(text) and not text[e].isspace():
+            e += 1
+        if out and s == floor:
+            out[-1][1] = e
         else:
             out.append([s, e])
     return [tuple(x) for x in out]
@@ -101,10 +110,6 @@ class Region:
     """Tokens of a stretch and its candidate segments (first token, last token, numeric or address)."""
 
     def __init__(self, text: str, start: int, end: int):
-        while start and not text[start - 1].isspace():  # whole words at the borders, as far as the margin goes
-            start -= 1
-            if end - start > 4096:
-                break
         self.text = text
         got = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text, start, end)]
         self.start, self.end, self.tok = [g[0] for g in got], [g[1] for g in got], [g[2] for g in got]
@@ -119,6 +124,9 @@ class Region:
         mark = [_MARKS.get(t, 0) for t in tok]
         word = [t.isascii() and (t.isalnum()) for t in tok]
         gap = [0, *(start[k] - end[k - 1] for k in range(1, n))]
+        sign = [n] * (n + 1)  # the next @ or "at"
+        for k in range(n - 1, -1, -1):
+            sign[k] = k if tok[k] == "@" or mark[k] == 1 else sign[k + 1]
         for i in range(n):
             if digits[i] or tok[i] in "+(":  # numbers: digits and separators, gaps of one space
                 total, j = 0, i
@@ -129,7 +137,7 @@ class Region:
                     elif digits[j] and j - i >= 6 and 4 <= total < 7 and tok[i + 1] == ".":
                         self.candidates.append((i, j, "number"))
                     j += 1
-            if word[i] and not mark[i] and (i == 0 or gap[i] or tok[i - 1] not in "._%+-"):
+            if sign[i] - i < MAX_TOKENS and word[i] and not mark[i] and (i == 0 or gap[i] or tok[i - 1] not in "._%+-"):
                 ats = dots = 0
                 j = i
                 while j < n and j - i < MAX_TOKENS:
@@ -368,9 +376,11 @@ def _phrases(rng: random.Random, n: int) -> list[str]:
 def train(texts: list[str], seed: int = 5, phrases: int = 800) -> SemiMarkov:
     rng = random.Random(seed)
     pieces = _phrases(rng, phrases)
+    most = len(pieces) + REGIONS
     for t in texts:
         found = regions(t)
-        pieces += [t[s:e] for s, e in (found if len(found) <= REGIONS else [found[k * (len(found) - 1) // (REGIONS - 1)] for k in range(REGIONS)])]
+        if len(pieces) < most and len(found) <= max(1, REGIONS // 10):
+            pieces += [t[s:e] for s, e in found]
     data = []
     for piece in pieces:
         spans = sorted(base_spans(piece), key=lambda x: x[1])
@@ -396,21 +406,40 @@ def train(texts: list[str], seed: int = 5, phrases: int = 800) -> SemiMarkov:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> SemiMarkov:
-    """Trains on about ``sample`` texts with a digit run or an @, those of lowest hash; never a held-out row."""
-    rows = docs.select("doc_id", "text").where(F.col("text").rlike("@|[0-9]{4}") & ~held_out(F.col("doc_id")))
-    n = rows.count()
-    unit = F.pmod(F.xxhash64("doc_id", F.lit("pii")), F.lit(1 << 30)) / float(1 << 30)
-    got = rows.where(unit < min(1.0, sample / max(1, n))).select(windows(F.col("text"), sep="\n"), "doc_id").collect()
-    return train([r[0] for r in sorted(got, key=lambda r: (r[1] is None, r[1], r[0]))])
+    """Trains on ``sample`` texts with a digit run or an @, those of lowest hash; never a held-out row.
+
+    The share of rows to look at comes from their number, so the patterns run over few texts; where those have too few
+    finds, more are looked at."""
+    rows = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")))
+    hashed = F.xxhash64("doc_id", F.lit("pii"))
+    share = min(1.0, 2 * sample / max(1, rows.count()))
+    while True:
+        some = materialize(rows.where((F.pmod(hashed, F.lit(1 << 30)) < int(share * (1 << 30))) & F.col("text").rlike("@|[0-9]{4}")), "sample")
+        if share == 1 or some.count() >= sample:
+            break
+        drop(some)
+        share = min(1.0, 8 * share)
+    few = some.orderBy(hashed, "doc_id", "text").limit(sample).withColumn("label", F.lit(0))
+    got = within(few, "label", MOST_BYTES).select("text").orderBy(F.xxhash64("text"), "text").collect()
+    drop(some)
+    return train([r[0] for r in got])
 
 
 def find(text: str, model: SemiMarkov) -> tuple[list, list]:
     """(base spans, all spans), by kind, then start."""
     base = base_spans(text)
-    more = []
+    taken: list[list[int]] = []  # the base spans united, by place
+    for _, s, e in sorted(base, key=lambda x: x[1:]):
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(e, taken[-1][1])
+        else:
+            taken.append([s, e])
+    more, k = [], 0
     for s, e in regions(text):
-        for kind, a, b in model.segment(Region(text, s, e)):
-            if not any(a < y and x < b for _, x, y in base):
+        for kind, a, b in model.segment(Region(text, s, e)):  # in order, so one pass over both
+            while k < len(taken) and taken[k][1] <= a:
+                k += 1
+            if k == len(taken) or b <= taken[k][0]:
                 more.append((kind, a, b))
     return base, sorted({*base, *more}, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 

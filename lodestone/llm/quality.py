@@ -6,9 +6,10 @@ fits better) is turned into a probability by logistic calibration on labelled ro
 little evidence: below some hundred bytes the logit moves towards that of the corpus's share of label 1.
 Scoring runs in Arrow batches over whole texts.
 
-Sample: about ``PER_CLASS`` rows a label (the bound), half for the dictionaries and half for the calibration, which is
-weighted to the labels' shares in the corpus. Edge cases: null and empty texts get the corpus's share of label 1; repeated rows score
-alike; without labelled rows of both kinds the score is the share of label 1 (0.5 without any); labels, lang, source
+Sample: about ``PER_CLASS`` rows a label, whole texts, ``samples.MOST_BYTES`` together (the bounds), half for the
+dictionaries and half for the calibration, which is weighted to the labels' shares in the corpus. Edge cases: null and empty
+texts get the corpus's share of label 1; repeated rows score alike, a null doc_id is scored like any other; empty tables give
+no rows; other columns are ignored; without labelled rows of both kinds the score is the share of label 1 (0.5 without any); labels, lang, source
 and doc_id are not inputs of a score.
 """
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import held_out
+from lodestone.scratch import drop, materialize
 
+from .common import held_out
 
 MOST_CLASSES = 2000
+MOST_BYTES = 48 << 20  # text of a sample at most
 
 
 def sample_ids(labelled: DataFrame, label: str, per_class: int) -> DataFrame:
@@ -32,17 +34,23 @@ def sample_ids(labelled: DataFrame, label: str, per_class: int) -> DataFrame:
     return rows.join(F.broadcast(shares), "label").where((unit < F.col("share")) | (unit == F.col("least"))).select("doc_id", "label")
 
 
-def windows(text: Column, max_bytes: int = 20_000, sep: str = "") -> Column:
-    """A text; above ``max_bytes`` characters, 40 evenly spaced windows of it."""
-    n = 40
-    w = max_bytes // n
-    long = F.concat_ws(sep, *[F.substring(text, (F.length(text) * (k / n)).cast("int") + 1, F.lit(w)) for k in range(n)])
-    return F.when(F.length(text) > max_bytes, long).otherwise(text)
+def within(rows: DataFrame, label: str, most_bytes: int) -> DataFrame:
+    """Of a bounded number of rows, as many whole texts as fit into ``most_bytes``, the same share for each class; of every
+    class one at least. Texts larger than a class's share come last."""
+    size = F.octet_length("text")
+    if (rows.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most_bytes:
+        return rows
+    share = most_bytes // max(1, rows.select(label).distinct().count())
+    w = Window.partitionBy(label).orderBy(size > share, F.xxhash64("doc_id", F.lit("size")), "doc_id", "text")
+    ranked = rows.withColumns({"_at": F.row_number().over(w), "_sum": F.sum(size.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    return ranked.where(f"_at = 1 or _sum <= {share}").select(*rows.columns)
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int = 20_000) -> list[tuple[int, str, object]]:
-    """[(doc_id, text, label)] of the sample, in the order of doc_id. The ids are a bounded number of rows and are
-    broadcast; of a text above ``max_bytes`` characters, evenly spaced windows of it are learned from."""
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_bytes: int = MOST_BYTES) -> list[tuple[int, str, object]]:
+    """[(doc_id, text, label)] of the sample, whole texts, in the order of doc_id. The ids are a bounded number of rows and are
+    broadcast; the texts are written, and no more than ``most_bytes`` of them are gathered."""
     ids = sample_ids(labels, label, per_class).dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", windows(F.col("text"), max_bytes).alias("text"), "label").collect()
-    return sorted((r[0], r[1], r[2]) for r in rows)
+    rows = materialize(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label"), "sample")
+    got = within(rows, "label", most_bytes).collect()
+    drop(rows)
+    return sorted((r[0], r[1], r[2]) for r in got)

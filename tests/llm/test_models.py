@@ -208,20 +208,141 @@ def test_personal_data(spark, sf, nasty, empty):
         assert [x[1:] for x in base if x[0] == "email"] == [m.span() for m in email.finditer(r["text"] or "")]
 
 
+def plain_personal(t):
+    """The base spans straight from their patterns."""
+    import re
+
+    digits = lambda x: re.sub("[^0-9]", "", x)
+
+    def checksum(d):
+        return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m[0])) <= 19 and checksum(digits(m[0]))]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m[0])) <= 15]
+
+
+def test_personal_data_query_against_plain(spark, tmp_path):
+    """Counts, digest and spans of whole texts, of all kinds and between them."""
+    import hashlib
+
+    rng = np.random.default_rng(11)
+    bits = ["jo@mail.example.com", "a.b", "@", ".", "-", " ", "+1 (974) 555-3436", "+49 30 1234567", "10.0.0.1", "300.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "5500000000000004", "0", "12", "x", "é", "(", ")", "\n", "1.2.3.4.5", "% ", "word word "]
+    rows = [(k, "".join(rng.choice(bits, rng.integers(0, 12)))) for k in range(600)] + [(700, None), (701, ""), (702, "word " * 20_000 + "jo@mail.example.com")]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in pii.op9_personal_data(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    seen = set()
+    for d, t in rows:
+        want = plain_personal(t or "")
+        seen |= {k for k, _, _ in want}
+        assert [got[d][f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in want) for k in pii.KINDS]
+        assert got[d]["base_sha256"] == hashlib.sha256(pii.written(want).encode()).hexdigest()
+        spans = got[d]["spans"].split(",") if got[d]["spans"] else []
+        assert set(pii.written(want).split(",")) - {""} <= set(spans) and len(set(spans)) == len(spans)
+    assert seen == set(pii.KINDS)
+
+
+def test_personal_data_rewritten(spark, sf):
+    """Held-out texts whose entities are written in other ways: precision and recall of the added spans."""
+    import random
+
+    docs = spark.read.parquet(f"{sf.replace('sf0.01', 'sf0.1')}/documents.parquet")
+    model = pii.fit(docs)
+    rng, wanted, added, both = random.Random(9), 0, 0, 0
+    for r in docs.collect():
+        if not held(r["doc_id"]) or not r["text"]:
+            continue
+        spans, out, gold, at = sorted(pii.base_spans(r["text"]), key=lambda x: x[1]), [], [], 0
+        for kind, s, e in spans:
+            if s < at or kind == "ip":
+                continue
+            out += [r["text"][at:s], pii._rewrites(rng, kind, r["text"][s:e]) or r["text"][s:e]]
+            n = sum(map(len, out))
+            gold.append((kind, n - len(out[-1]), n))
+            at = e
+        base, every = pii.find("".join(out) + r["text"][at:], model)
+        gold, more = set(gold) - set(base), set(every) - set(base)
+        wanted, added, both = wanted + len(gold), added + len(more), both + len(gold & more)
+    assert wanted > 50 and both >= 0.9 * wanted and both >= 0.9 * added
+
+
 def test_personal_data_sample(spark, monkeypatch):
-    """Held-out rows stay out, and stretches come from the whole text."""
+    """Held-out rows stay out, texts are learned from whole, and long ones stay within the bounds."""
     got = []
     monkeypatch.setattr(pii, "train", got.extend)
     long = "first 1234 " + "word " * 9000 + " last@example.com"
     pii.fit(table(spark, [(k, f"{k} 5678 {long}") for k in range(40)]))
     assert sorted({int(t.split()[0]) for t in got}) == [k for k in range(40) if not held(k)]
-    assert all(15_000 < len(t) <= 20_100 for t in got)
+    assert all(t.endswith(long) for t in got)
+    got.clear()
+    pii.fit(table(spark, [(k, f"{k} 5678 words") for k in range(4000)] + [(5000 + k, "no digits") for k in range(4000)]), sample=100)
+    assert len(got) == 100
     monkeypatch.undo()
     seen = []
+    monkeypatch.setattr(pii, "REGIONS", 30)
     monkeypatch.setattr(pii, "base_spans", lambda t: seen.append(t) or [])
     monkeypatch.setattr(pii.SemiMarkov, "train", lambda self, data: [])
-    pii.train([("x " * 100).join(f"u{k}@example.com " for k in range(1, 41))], phrases=0)
-    assert len(set(seen)) == 6 and any("u40@" in t for t in seen)
+    pii.train([("x " * 100).join(f"u{k}@example.com " for k in range(9)), ("x " * 100).join(f"v{k}@example.com " for k in range(3))], phrases=0)
+    assert len(set(seen)) == 3 and any("v2@" in t for t in seen)
+
+
+def test_personal_data_in_long_words(spark):
+    """Regions are whole words, and unspaced texts take time in proportion."""
+    text = "a" * 90 + ".b@mail." + "c" * 90 + ".example.com (974) 555-3436"
+    assert pii.regions(text) == [(0, len(text))] and pii.regions("") == []
+    m = pii.train([], phrases=50)
+    assert pii.find("x." * 50_000 + "@b.c", m)[0] == [("email", 0, 100_004)]
+
+
+def test_samples_are_whole_texts_within_bytes(spark):
+    rows = [(k, f"{k} " + "word " * (20_000 if k == 3 else 200)) for k in range(120)]
+    docs = table(spark, rows).withColumn("lang", F.when(F.col("doc_id") % 10 == 0, "a").otherwise("b"))
+    got = samples.labelled_texts(docs, docs, "lang", 1000, most_bytes=20_000)
+    assert sum(len(t) for _, t, _ in got) <= 20_000 and {x for *_, x in got} == {"a", "b"} and 12 <= len(got) < 24
+    assert all(t == dict(rows)[d] for d, t, _ in got)
+    huge = samples.labelled_texts(docs.where("doc_id = 3"), docs, "lang", 1000, most_bytes=10)
+    assert [d for d, _, _ in huge] == [3]
+
+
+def test_toxicity_against_plain(spark, sf, tmp_path):
+    """The query's scores by a loop over a text's n-grams."""
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    weight = dict(zip(model.cell.tolist(), model.value.tolist(), strict=True))
+    mask = 0xFFFFFFFF
+
+    def cell(g, k, n):
+        h = n * 0x61C88647 & mask
+        for j, c in enumerate(g):
+            h ^= ord(c) * int(toxicity._A[j]) & mask
+            h = (h << 7 | h >> 25) & mask
+        return ((h ^ h >> 15) * 0x2C1B3C6D & mask) >> 32 - toxicity.BITS | k << toxicity.BITS
+
+    for r in toxicity.op2_toxicity(spark, sf).join(docs.select("doc_id", "text"), "doc_id").where("length(text) < 1500 or text is null").orderBy("doc_id").limit(60).collect():
+        t = " " + "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r["text"] or "") + " "
+        cells = {cell(t[i : i + n], k, n) for k, n in enumerate(toxicity.ORDERS) for i in range(len(t) - n + 1)}
+        s = sum(weight.get(c, 0.0) for c in cells) + model.bias
+        assert abs(r["score"] - 1 / (1 + np.exp(-s))) < 1e-4 and r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_quality_against_plain(spark, sf):
+    """The query's scores by compressing every block anew."""
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    m = quality.fit(docs, labels)
+
+    def size(raw, dictionary):
+        c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(c.compress(raw[k : k + quality.BLOCK])) for k in range(0, len(raw), quality.BLOCK))
+
+    for r in quality.op8_quality_classifier(spark, sf).join(docs.select("doc_id", "text"), "doc_id").orderBy("doc_id").limit(40).collect():
+        raw = (r["text"] or "").encode()
+        x = (size(raw, m.bad) - size(raw, m.good)) / len(raw) if raw else 0.0
+        told = len(raw) / (len(raw) + quality.LITTLE)
+        assert abs(r["score"] - 1 / (1 + np.exp(-(told * (m.slope * x + m.bias) + (1 - told) * m.prior)))) < 1e-6
 
 
 def test_rows_stay_without_a_network(spark, nasty):
