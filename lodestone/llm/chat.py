@@ -10,9 +10,11 @@ Control strings inside roles and texts are escaped by a backslash after their fi
 backslashes already), which is undone exactly by taking one away. One shuffle by conversation serves all steps; a
 conversation is one row of the result, so it must fit in a row.
 
-Edge cases: null text and null role are empty; a null conv_id is a conversation of its own; events equal in seq are taken
-in the order of their text; a conversation whose messages are all deleted has no row; an empty log gives no rows; other
-columns are ignored.
+Edge cases: null text and null role are empty; a null conv_id is a conversation of its own and a null message one before the
+others; a null seq comes before all others, and events equal in seq are taken in the order of text, kind, role and message,
+so that of a tie the later one takes effect as anywhere else; repeated events count each time; after a delete, deltas are
+lost until the next edit or regenerate; a conversation whose messages are all deleted has no row; an empty log gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,11 +43,12 @@ def fold_events(events: DataFrame) -> DataFrame:
     """(conv_id, message, role, text): what the log's events leave of each message."""
     so_far = Window.partitionBy("conv_id").orderBy("message").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     own = Window.partitionBy("conv_id", "message")
-    kind, seq = F.col("kind"), F.col("seq")
+    kind, at = F.col("kind"), F.col("at")
     e = events.select("conv_id", "seq", "message", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("kind", F.lit("delta")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
-    e = e.withColumn("_cut", F.max(F.when(kind == "regenerate", seq)).over(so_far)).where(F.col("_cut").isNull() | (seq >= F.col("_cut")))
-    e = e.withColumn("_reset", F.max(F.when(kind != "delta", seq)).over(own)).where(F.col("_reset").isNull() | (seq >= F.col("_reset")))
-    pieces = F.sort_array(F.collect_list(F.struct("seq", "text", "kind", "role")))
+    e = e.withColumn("at", F.row_number().over(Window.partitionBy("conv_id").orderBy("seq", "text", "kind", "role", "message")))
+    e = e.withColumn("_cut", F.max(F.when(kind == "regenerate", at)).over(so_far)).where(F.col("_cut").isNull() | (at >= F.col("_cut")))
+    e = e.withColumn("_reset", F.max(F.when(kind != "delta", at)).over(own)).where(F.col("_reset").isNull() | (at >= F.col("_reset")))
+    pieces = F.sort_array(F.collect_list(F.struct("at", "text", "kind", "role")))
     m = e.groupBy("conv_id", "message").agg(pieces.alias("p"))
     m = m.where(~F.exists("p", lambda x: x.kind == "delete"))
     role = F.coalesce(F.try_element_at(F.filter("p", lambda x: x.role != ""), F.lit(-1)).role, F.lit(""))

@@ -2,12 +2,14 @@
 
 A text is layer 0. Every layer is scanned with the base patterns; then its URL escapes are decoded, its Unicode and
 character escapes are decoded, and each base64 run is decoded, also through compressed streams (gzip, zlib, bzip2, xz,
-zstd). Decoded bytes needn't be text: what isn't UTF-8 is scanned as Latin-1, and as UTF-16 where NULs alternate; each result is a new layer on the worklist, until nothing new appears. A layer that was seen
-before in this text (by digest) isn't taken again, so cycles end. Every character of a layer knows its span in the
+zstd). Decoded bytes needn't be text: what isn't UTF-8 is scanned as Latin-1, and as UTF-16 where NULs alternate; each
+result is a new layer on the worklist, until nothing new appears. Base64 that is wrapped over lines is read as a whole, too.
+A layer that was seen before in this text (by digest) isn't taken again, so cycles end. Every character of a layer knows its span in the
 original text: exact for escapes, the whole run for base64 that is text as a whole and for compressed layers, the
 characters that encode it for what lies elsewhere in a base64 run. Runs are decoded in all four alignments, and streams
 are tried at their start and behind each '/', '-', '_' and '+': paths before a payload and joined payloads hide nothing. The spans found in deeper layers
-are added to the base ones.
+are added to the base ones. Behind ``LEVELS`` layers of escapes the rest of a nest is unwrapped at once, to its innermost text,
+so that a nest as deep as the text is long takes time in proportion.
 
 Streams are decompressed over all their members or frames in pieces of ``PIECE`` bytes, each scanned before the next is
 made, so neither size nor number of layers is bounded and memory is. They may begin anywhere in decoded base64 or in bytes
@@ -15,8 +17,9 @@ written with URL or character escapes; inside another stream, at its start. Piec
 
 Limits: where a decompressed layer has no such place (a line break, a control or non-ASCII character) for ``MAX_LAYER``
 bytes, the pieces overlap by ``OVERLAP``; zstd windows and xz memory above ``MAX_LAYER`` (xz: four times) aren't opened, and
-streams nest 64 deep at most. Edge cases: null and empty texts have no spans; repeated rows are scanned
-alike; runs that aren't base64 are left as they are.
+streams nest 64 deep at most. Edge cases: null and empty texts have no spans; repeated rows are scanned alike, a null doc_id
+like any other; spans of equal start are in the order of kinds; empty tables give no rows; other columns are ignored; runs
+that aren't base64 are left as they are.
 """
 
 from __future__ import annotations
@@ -42,6 +45,7 @@ KINDS = ("assign", "access", "hex")
 MAX_LAYER = 64 << 20
 PIECE = 1 << 20
 OVERLAP = 1 << 16
+LEVELS = 8
 _ASSIGN = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _HINTS = ("passw", "secret", "token", "key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -49,6 +53,8 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}+(?:[\x20\t]*+\r?\n[\x20\t>]*+[A-Za-z0-9+/_-]{16,}+={0,2}+)++(?:[\x20\t]*+\r?\n[\x20\t>]*+[A-Za-z0-9+/_-]{1,15}+={0,2}+(?!=))?")
+_LINE_END = re.compile(r"[\x20\t]*\r?\n[\x20\t>]*")
 _BREAK = re.compile(rb"[\x01-\x08\x0e-\x1f\x7f-\xff]")
 _MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\0|\x28\xb5\x2f\xfd|[\x08\x18\x28\x38\x48\x58\x68\x78](?=[\s\S])")
 _MARK = re.compile(r"%[0-9A-Fa-f]{2}|\\[xu]|&#")
@@ -145,6 +151,61 @@ def _escapes(layer: Layer) -> Layer | None:
     return _rewritten(layer, pieces, "escape") if pieces else None
 
 
+_HEXES = frozenset("0123456789abcdefABCDEF")
+
+
+def _escape_at_end(out: list[str]) -> tuple[int, int, bool] | None:
+    """(length, code, whether it is a byte) of the escape that the last characters of ``out`` are, if any."""
+    c = out[-1]
+    if c in _HEXES:
+        for mark, size in (("%", 2), ("\\x", 2), ("\\u", 4), ("\\U", 8)):
+            n = len(mark) + size
+            if len(out) >= n and out[-n] == mark[0] and (len(mark) == 1 or out[-n + 1] == mark[1]) and all(x in _HEXES for x in out[-size:]):
+                return n, int("".join(out[-size:]), 16), mark == "%"
+    elif c in "};":
+        tail = "".join(out[-11:])
+        if m := _LAST.search(tail):
+            return len(m[0]), int(m[1] or m[2], 16) if m[1] or m[2] else int(m[3]), False
+    return None
+
+
+_LAST = re.compile(r"(?:\\u\{([0-9A-Fa-f]{1,6})\}|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});)\Z")
+
+
+def _settled(layer: Layer) -> Layer:
+    """The layer with all escapes decoded, and what they decode to, until none is left: one pass with a stack."""
+    out: list[str] = []
+    first: list[int] = []
+    raw: list[bool] = []  # a byte above 127, which may be part of a character
+    last: list[int] = []
+    for k, c in enumerate(layer.text):
+        out.append(c)
+        first.append(k)
+        last.append(k)
+        raw.append(False)
+        while (got := _escape_at_end(out)) and got[1] <= 0x10FFFF:
+            n, code, byte = got
+            out[-n:], first[-n:], last[-n:], raw[-n:] = [chr(code)], [first[-n]], [k], [byte and code > 127]
+    at = 0
+    while at < len(out):
+        end = at
+        while end < len(out) and raw[end]:
+            end += 1
+        if end > at:
+            try:
+                text = bytes(map(ord, out[at:end])).decode()
+                out[at:end], first[at:end], last[at:end], raw[at:end] = list(text), [first[at]] * len(text), [last[end - 1]] * len(text), [False] * len(text)
+                end = at + len(text)
+            except UnicodeDecodeError:
+                pass
+        at = end + 1
+    path = (*layer.path, "settled")
+    if layer.whole:
+        return Layer("".join(out), whole=layer.whole, path=path)
+    s, e = np.array(first, np.int64), np.array(last, np.int64)
+    return Layer("".join(out), s if layer.start is None else layer.start[s], e + 1 if layer.end is None else layer.end[e], path=path)
+
+
 def _opened(head: bytes):
     """(name, a new decompressor) for the header of a stream."""
     if head[:2] == b"\x1f\x8b" or (len(head) > 2 and head[0] & 0x0F == 8 and head[0] >> 4 <= 7 and int.from_bytes(head[:2]) % 31 == 0):
@@ -313,6 +374,18 @@ def _mapped(layer: Layer, raw: bytes, at: int, path: tuple) -> Layer:
     return Layer(text, first if layer.start is None else layer.start[first], last if layer.end is None else layer.end[last - 1], path=path)
 
 
+def _wrapped(layer: Layer):
+    """Base64 over several lines, as mail and keys have it, without its line ends."""
+    for m in _LINES.finditer(layer.text):
+        inner = [(x.start(), x.end(), "") for x in _LINE_END.finditer(layer.text, *m.span())]
+        if inner:
+            part = Layer(m[0], layer.start, layer.end, layer.whole, layer.path)
+            if not layer.whole:
+                k = np.arange(*m.span())
+                part.start, part.end = (k, k + 1) if layer.start is None else (layer.start[k], layer.end[k])
+            yield _rewritten(part, [(s - m.start(), e - m.start(), new) for s, e, new in inner], "lines")
+
+
 def _base64(layer: Layer):
     """Each run in its four alignments: a payload behind a '/', '-', '_' or '+' begins at a character of one of them.
 
@@ -364,11 +437,17 @@ def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
                 if span not in spans:
                     spans[span] = None
                     deep.append((span, layer.path, layer.text[s:e]))
-        new = [_url(layer) if "%" in layer.text else None, _escapes(layer) if "\\" in layer.text or "&#" in layer.text else None]
+        depth = sum(how in ("url", "escape") for how in layer.path)
+        if depth < LEVELS:
+            new = [_url(layer) if "%" in layer.text else None, _escapes(layer) if "\\" in layer.text or "&#" in layer.text else None]
+        else:
+            new = [_settled(layer) if layer.path[-1] != "settled" and _MARK.search(layer.text) else None]
         if any(new):
             work.append(_written_bytes(layer))
         work += [iter([x]) for x in new if x is not None]
         work.append(_base64(layer))
+        if layer.path[-1:] != ("lines",):
+            work.append(_wrapped(layer))
     return base, ordered(spans), deep
 
 
