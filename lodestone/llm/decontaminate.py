@@ -3,13 +3,14 @@
 Each Arrow slice of documents (about 2 MB of text, whole documents) is one shard: its words become 64-bit
 hashes, prefix doubling sorts all word suffixes (a document's end sorts below every word and differs from
 every test word, so no match crosses it), and every benchmark suffix is looked up by binary search, all of
-them at once. The neighbours in the array give the longest verbatim match; the range of suffixes that share
-a suffix's first ``window`` words gives every location. Nothing is shuffled; the benchmark is broadcast in
+them at once. The range of suffixes that share a test suffix's first ``window`` words gives every location, and each
+of these is extended word by word to the longest verbatim match there. Nothing is shuffled; the benchmark is broadcast in
 blocks of a bounded number of words, one pass over the documents per block.
 
-Edge cases: a null or wordless text has no words and is clean; an item without words matches nothing; an item
-of fewer words than the window is one window; repeated rows are scored alike; a null item_id
-is an item, and rows are told apart by more than their doc_id; empty tables give no rows or no hits.
+Edge cases: a null or wordless text has no words and is clean; an item without words matches nothing; an item of fewer words
+than the window is one window; rows of one item_id are one item, a null item_id is an item, too; repeated rows are scored
+alike, and rows are told apart by more than their doc_id, which may be null; of equally long matches the smallest item_id is
+named; empty tables give no rows or no hits; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -156,15 +157,18 @@ def extend(w: np.ndarray, doc: np.ndarray, pos: np.ndarray, test: TestSuffixes,
     return n
 
 
-def _blocks(bench: DataFrame, window: int) -> list[TestSuffixes]:
-    """The benchmark in blocks; its total size is checked before anything is collected."""
+def _blocks(bench: DataFrame, window: int) -> list:
+    """The benchmark in broadcast blocks; its total size is checked before anything is collected, and the driver holds one
+    block at a time."""
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = size // BLOCK_BYTES + 1
     part = bench.select("item_id", "text", F.pmod(F.xxhash64("item_id"), F.lit(n)).alias("b"))
+    if n > 1:  # sorted by block, so that reading one skips the others' row groups
+        part = materialize(part.repartitionByRange(n, "b").sortWithinPartitions("b"), "blocks")
     out = []
     for b in range(n):
         rows = part.where(F.col("b") == b).select("item_id", "text").collect()
-        out.append(TestSuffixes([r[0] for r in rows], [r[1] for r in rows], window))
+        out.append(bench.sparkSession.sparkContext.broadcast(TestSuffixes([r[0] for r in rows], [r[1] for r in rows], window)))
     return out
 
 
@@ -224,12 +228,12 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if len(blocks) == 1:
-        return docs.mapInArrow(one(spark.sparkContext.broadcast(blocks[0])), SCHEMA)
+        return docs.mapInArrow(one(blocks[0]), SCHEMA)
     # Several blocks: hit passages of the same row are united over the blocks, by a key that null and repeated ids don't share.
     docs = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
     ids = docs.select("row", "doc_id")
     docs = docs.select(F.col("row").alias("doc_id"), "text")
-    each = [docs.mapInArrow(one(spark.sparkContext.broadcast(b)), SCHEMA) for b in blocks]
+    each = [docs.mapInArrow(one(b), SCHEMA) for b in blocks]
     found = each[0]
     for p in each[1:]:
         found = found.unionByName(p.where("n_hit > 0"))
@@ -275,7 +279,7 @@ def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
 
     blocks = _blocks(bench, window)
     for k, block in enumerate(blocks):  # row by row: neither null nor repeated ids matter
-        docs = docs.mapInArrow(rid(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+        docs = docs.mapInArrow(rid(block), docs.schema)
         if k + 1 < len(blocks):
             docs = materialize(docs, "clean")
     return docs
