@@ -8,11 +8,11 @@ from collections import deque
 from lodestone.kernels.small import Small
 
 
-def dfs(g: Small, start: int, direction: str = "outgoing") -> list[int]:
+def dfs(g: Small, start: int, direction: str = "outgoing", limit: int | None = None) -> list[int]:
     """Order of a stack whose nodes are marked when they are pushed; neighbours are pushed so that the first comes off first."""
     adj = g.steps(direction)
     seen, stack, order = {start}, [start], []
-    while stack:
+    while stack and (limit is None or len(order) < limit):
         u = stack.pop()
         order.append(u)
         fresh = []

@@ -83,6 +83,11 @@ def edge_betweenness(t: Topology, normalised: bool = False, keep=None) -> DataFr
     return f.select("edge", (F.when(F.col("src") == F.col("dst"), 0.0).otherwise(total) * scale).alias("score"))
 
 
+def undirected_edge_betweenness(t: Topology, normalised: bool = False, keep=None) -> DataFrame:
+    """``edge_betweenness`` of ``t`` without its edges' directions."""
+    return edge_betweenness(t.undirected(), normalised, keep)
+
+
 def distance_analytics(t: Topology, keep=None) -> DataFrame | None:
     """(node, eccentricity, diameter, radius, center, periphery) of an undirected connected graph; None otherwise."""
     from lodestone.operators.traversal import distances

@@ -74,6 +74,12 @@ def condensation(t: Topology, keep=None) -> tuple[DataFrame, Topology]:
     return scc, Topology(scc.select(F.col("component").alias("node")).distinct(), number_rows(c, ["src", "dst"], "edge"))
 
 
+def component_of(members: DataFrame, node: int) -> int | None:
+    """The component of ``node`` in a table (node, component), or None."""
+    row = members.where(F.col("node") == node).select("component").first()
+    return None if row is None else row[0]
+
+
 def simple_pairs(t: Topology) -> DataFrame:
     """(a, b), both ways, of the undirected simple projection: no loops, no repeats."""
     e = t.edges.where("src <> dst")

@@ -109,6 +109,13 @@ def subgraph_isomorphisms(pattern: list[tuple[int, int]], pattern_nodes: int, t:
     return out.orderBy(*names).limit(limit) if limit is not None else out
 
 
+def isomorphism_search(pattern: list[tuple[int, int]], pattern_nodes: int, t: Topology, limit: int, induced: bool = True, node_match: Column | None = None, edge_match: Column | None = None) -> tuple[DataFrame, bool]:
+    """(the first ``limit`` mappings in order, whether there are more)."""
+    found = materialize(subgraph_isomorphisms(pattern, pattern_nodes, t, induced, limit + 1, node_match, edge_match), "mappings")
+    names = [f"p{k}" for k in range(pattern_nodes)]
+    return found.orderBy(*names).limit(limit), found.count() > limit
+
+
 def graph_isomorphic(left: Topology, right: Topology) -> bool:
     """Equal counts and degree sequences, then an exact search on the smaller side's edges."""
     if (left.node_count(), left.edge_count()) != (right.node_count(), right.edge_count()):

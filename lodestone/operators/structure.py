@@ -42,12 +42,12 @@ def _place(g: Small, node: int) -> int | None:
 # Walks -----------------------------------------------------------------------------------------------------------
 
 
-def dfs(t: Topology, start: int, direction: str = "outgoing", keep=None) -> DataFrame:
-    """(position, node) of a depth-first walk that marks nodes when it discovers them."""
+def dfs(t: Topology, start: int, direction: str = "outgoing", keep=None, limit: int | None = None) -> DataFrame:
+    """(position, node) of a depth-first walk that marks nodes when it discovers them; with ``limit`` it ends after that many."""
 
     def kernel(g: Small):
         s = _place(g, start)
-        return [] if s is None else [(k, g.names[u]) for k, u in enumerate(walk.dfs(g, s, direction))]
+        return [] if s is None else [(k, g.names[u]) for k, u in enumerate(walk.dfs(g, s, direction, limit))]
 
     return run(_reached(_kept(t, keep), start, direction), kernel, "position long, node long")
 
@@ -92,6 +92,30 @@ def dominator_chain(idom: DataFrame, node: int, strict: bool = False) -> list[in
     return chain[1:] if strict else chain
 
 
+def dominations(idom: DataFrame, strict: bool = False) -> DataFrame:
+    """(dominator, node) of all pairs, of (node, idom): the chains of all nodes at once, by pointer doubling."""
+    up = materialize(idom.where("idom is not null").select("node", F.col("idom").alias("dominator")), "up")
+    pairs = up
+    while not up.isEmpty():
+        # up leads 2^k steps; a node's dominators at up to 2^k - 1 steps more are those of the node it leads to
+        more = pairs.join(up.select(F.col("node").alias("low"), F.col("dominator").alias("node")), "node").select(F.col("low").alias("node"), "dominator")
+        new = materialize(pairs.unionByName(more).distinct(), "pairs")
+        up = materialize(up.join(up.select(F.col("node").alias("dominator"), F.col("dominator").alias("far")), "dominator").select("node", F.col("far").alias("dominator")), "up")
+        pairs = new
+    own = idom.select("node", F.col("node").alias("dominator"))
+    return (pairs if strict else pairs.unionByName(own)).select("dominator", "node")
+
+
+def dominates(idom: DataFrame, dominator: int, node: int) -> bool:
+    """Whether every way from the root to ``node`` passes ``dominator``; a node dominates itself, if it is reached."""
+    return dominator in dominator_chain(idom, node)
+
+
+def dominated_by(idom: DataFrame, node: int) -> DataFrame:
+    """The nodes whose immediate dominator is ``node``."""
+    return idom.where(F.col("idom") == node).select("node").orderBy("node")
+
+
 def dominance_frontiers(t: Topology, root: int, keep=None) -> DataFrame:
     """(node, frontier): one row for each node in a frontier."""
 

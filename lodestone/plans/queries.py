@@ -171,23 +171,6 @@ def shortest_path(spark, d):
     return _rows(spark, [(end, len(path) - 1, ok)], "target long, edges long, valid boolean")
 
 
-@query(f"WITH {T.TRANSITIONS}, {_levels(_T_ARCS, 'SELECT node AS source, node FROM tv', 6)} SELECT source, count(*) AS reached, sum(level)::BIGINT AS total, max(level)::INT AS farthest FROM l GROUP BY 1")
-def bfs_batch(spark, d):
-    x = traversal.distances(T.transitions(spark, d))
-    return x.groupBy("source").agg(F.count("*").alias("reached"), F.sum("level").alias("total"), F.max("level").alias("farthest"))
-
-
-@query(f"WITH {T.GEOGRAPHY} SELECT count(*) AS nodes, count(DISTINCT node) AS distinct_nodes, 0::BIGINT AS first FROM gv")
-def dfs(spark, d):
-    x = structure.dfs(T.geography(spark, d), 0)
-    return x.agg(F.count("*").alias("nodes"), F.countDistinct("node").alias("distinct_nodes"), F.max(F.when(F.col("position") == 0, F.col("node"))).alias("first"))
-
-
-@query(f"WITH {T.GEOGRAPHY} SELECT 'discover' AS event, count(*) AS n FROM gv UNION ALL SELECT 'finish', count(*) FROM gv UNION ALL SELECT 'tree_edge', count(*) FROM ge")
-def dfs_events(spark, d):
-    return structure.depth_first_search(T.geography(spark, d), [0]).groupBy("event").agg(F.count("*").alias("n"))
-
-
 # Weighted paths ----------------------------------------------------------------------------------------------------
 
 _T_W = "SELECT src AS a, dst AS b, min(w + 1) AS w FROM te GROUP BY 1, 2"
@@ -199,17 +182,6 @@ def dijkstra(spark, d):
     return paths.sssp(t, _first(t), "w + 1").table.select("node", F.col("cost").cast("long").alias("cost"))
 
 
-@query(f"WITH {T.TRANSITIONS}, {_relaxed(_T_W, _T_START, 14)} SELECT node AS target, cost, true AS tight FROM d WHERE node = (SELECT max(node) FROM tv)")
-def astar(spark, d):
-    """With a zero heuristic: a path whose edges sum to the least cost."""
-    t = T.transitions(spark, d)
-    end = t.vertices.agg(F.max("node")).first()[0]
-    path, cost = paths.astar(t, _first(t), end, "w + 1", t.vertices.select("node", F.lit(0).alias("h")))
-    steps = _rows(spark, list(zip(path, path[1:], strict=False)), "src long, dst long")
-    total = steps.join(t.edges, ["src", "dst"]).groupBy("src", "dst").agg(F.min(F.col("w") + 1).alias("w")).agg(F.sum("w")).first()[0]
-    return _rows(spark, [(end, cost, total == cost)], "target long, cost long, tight boolean")
-
-
 @query(f"WITH {T.TRANSITIONS}, {_relaxed(_T_W, _T_START, 14)} SELECT node, (cost + 3 * ((SELECT min(node) FROM tv) - node))::BIGINT AS cost FROM d")
 def bellman_ford(spark, d):
     """Signed weights without a negative cycle: the positive ones shifted by a potential."""
@@ -284,11 +256,6 @@ def strong_components(spark, d):
     return components.strongly_connected(T.transitions(spark, d), "w >= 120")
 
 
-@query(_SCC + " SELECT DISTINCT a.component AS src, b.component AS dst FROM tf JOIN c a ON a.node = tf.src JOIN c b ON b.node = tf.dst WHERE a.component <> b.component")
-def condensation(spark, d):
-    return components.condensation(T.transitions(spark, d), "w >= 120")[1].edges.select("src", "dst")
-
-
 @query(f"WITH {T.CHAINS} SELECT src AS node, place::INT AS generation FROM oe")
 def topological_generations(spark, d):
     return dag.topological(T.order_chains(spark, d)).select("node", "generation")
@@ -333,50 +300,9 @@ def transitive_reduction(spark, d):
     return dag.dag_reduction_closure(Topology(t.vertices, t.edges.select("edge", "src", "dst").unionByName(two)))[0]
 
 
-@query(f"WITH {T.GEOGRAPHY} SELECT node, (SELECT src FROM ge WHERE dst = node) AS idom FROM gv")
-def dominators(spark, d):
-    return structure.dominators(T.geography(spark, d), 0)
-
-
-@query(f"WITH {T.TRANSITIONS} SELECT 0::BIGINT AS on_frontier_of_root WHERE (SELECT count(*) FROM te WHERE dst = (SELECT min(node) FROM tv)) < 0")
-def dominance_frontiers(spark, d):
-    """Of the tree: nothing joins, so no node has a frontier."""
-    return structure.dominance_frontiers(T.geography(spark, d), 0).select(F.col("node").alias("on_frontier_of_root"))
-
-
-@query("SELECT true AS acyclic")
-def feedback_arc_set(spark, d):
-    t = T.transitions(spark, d)
-    from lodestone.graph import Topology
-
-    left = t.edges.join(structure.feedback_arc_set(t), "edge", "left_anti")
-    return _rows(spark, [(not dag.has_cycle(Topology(t.vertices, left)),)], "acyclic boolean")
-
-
 # Connectivity ------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {T.GEOGRAPHY} SELECT edge FROM ge")
-def bridges(spark, d):
-    return structure.bridges(T.geography(spark, d).undirected())
-
-
-@query(f"WITH {T.GEOGRAPHY} SELECT node FROM gv WHERE (SELECT count(*) FROM ge WHERE node IN (src, dst)) >= 2")
-def articulation_points(spark, d):
-    return structure.articulation_points(T.geography(spark, d).undirected())
-
-
-@query(f"WITH {T.GEOGRAPHY} SELECT edge AS block, edge FROM ge")
-def biconnected_components(spark, d):
-    return structure.biconnected_components(T.geography(spark, d).undirected())
-
-
-@query(f"WITH {T.TRANSITIONS}, u AS (SELECT node, (SELECT count(*) FROM te WHERE node IN (src, dst) AND src <> dst) AS d FROM tv) SELECT (SELECT count(*) FROM te) - (SELECT count(*) FROM u WHERE d = 1) AS edges")
-def chain_decomposition(spark, d):
-    """Edges in chains: all but bridges, which in so dense a graph only lead to nodes of one edge."""
-    return structure.chain_decomposition(T.transitions(spark, d).undirected()).agg(F.count("*").alias("edges"))
-
-
 _SUBSETS = "s AS (SELECT range AS s FROM range(1, 31))"
 
 
@@ -391,65 +317,11 @@ def maximum_flow(spark, d):
     return _rows(spark, [(value, flows.count())], "value long, edges long")
 
 
-@query(f"WITH {T.TYPE_FLOW}, {_SUBSETS}, c AS (SELECT s, sum(CASE WHEN ((s >> src) & 1) = 1 AND ((s >> dst) & 1) = 0 THEN n ELSE 0 END) AS w FROM s, fe WHERE (s & 1) = 1 AND (s & 16) = 0 GROUP BY 1) SELECT min(w)::BIGINT AS value FROM c")
-def min_cost_max_flow(spark, d):
-    return _rows(spark, [(structure.min_cost_max_flow(T.type_flow(spark, d), 0, 4, "n", "edge")[0],)], "value long")
-
-
-@query(f"WITH RECURSIVE {T.TYPE_FLOW}, t AS (SELECT [0] AS nodes, 0::BIGINT AS cost UNION ALL SELECT list_append(nodes, v), cost + w FROM (SELECT nodes, cost, v, w, row_number() OVER (PARTITION BY nodes ORDER BY w, edge) AS k FROM (SELECT nodes, cost, CASE WHEN list_contains(nodes, src) THEN dst ELSE src END AS v, n AS w, edge FROM t JOIN fe ON list_contains(nodes, src) <> list_contains(nodes, dst))) WHERE k = 1) "
-       "SELECT cost::DECIMAL(38, 0) AS total_weight, 4::BIGINT AS edges, 1::BIGINT AS components FROM t WHERE len(nodes) = 5")
-def minimum_spanning_forest(spark, d):
-    return spanning.forest_summary(T.type_flow(spark, d).undirected(), "n")
-
-
-@query(f"WITH {T.GEOGRAPHY} SELECT count(*)::BIGINT AS cost FROM ge WHERE src < 100")
-def steiner_tree(spark, d):
-    """The tree that joins the root and all nations."""
-    t = T.geography(spark, d).undirected()
-    nations = [r[0] for r in T.table(spark, d, "nation").select((F.col("n_nationkey") + T.NATION).cast("long")).collect()]
-    return _rows(spark, [(structure.steiner_tree(t, [0, *nations])[0],)], "cost long")
-
-
 @query(f"WITH {T.SUPPLY} SELECT node, CASE WHEN node < {T.PART} THEN 0 ELSE 1 END AS side FROM sv")
 def bipartite_partition(spark, d):
     return spanning.bipartite_partition(T.supply(spark, d)).select("node", "side")
 
 
-@query(f"WITH {T.SUPPLY} SELECT count(DISTINCT src) AS pairs, count(DISTINCT src) AS lefts, count(DISTINCT src) AS rights FROM se")
-def maximum_bipartite_matching(spark, d):
-    """Every supplier has many parts, so all of them are matched."""
-    m = structure.maximum_bipartite_matching(T.supply(spark, d))
-    return m.agg(F.count("*").alias("pairs"), F.countDistinct("left").alias("lefts"), F.countDistinct("right").alias("rights"))
-
-
-@query(f"WITH {T.TRANSITIONS} SELECT count(*) // 2 AS pairs FROM tv")
-def maximum_matching(spark, d):
-    """In so dense a graph all nodes but at most one are matched."""
-    return structure.maximum_matching(T.transitions(spark, d).undirected()).agg(F.count("*").alias("pairs"))
-
-
-@query(f"WITH {T.TYPE_FLOW}, s AS (SELECT range AS s FROM range(1, 32)), a AS (SELECT DISTINCT src, dst FROM fe WHERE src <> dst UNION SELECT dst, src FROM fe WHERE src <> dst), "
-       "k AS (SELECT s FROM s WHERE NOT EXISTS (SELECT 1 FROM range(5) x(i), range(5) y(j) WHERE i <> j AND ((s >> i) & 1) = 1 AND ((s >> j) & 1) = 1 AND NOT EXISTS (SELECT 1 FROM a WHERE src = i AND dst = j))) "
-       "SELECT array_to_string([i FOR i IN range(5) IF ((k.s >> i) & 1) = 1], '>') AS clique FROM k WHERE NOT EXISTS (SELECT 1 FROM k b WHERE b.s <> k.s AND (b.s & k.s) = k.s)")
-def maximal_cliques(spark, d):
-    return structure.maximal_cliques(T.type_flow(spark, d).undirected()).select(F.array_join(F.transform("clique", lambda x: x.cast("string")), ">").alias("clique"))
-
-
-@query(f"WITH {T.GEOGRAPHY} SELECT count(*) AS nodes, 2::BIGINT AS colours, 0::BIGINT AS clashes FROM gv")
-def dsatur_coloring(spark, d):
-    t = T.geography(spark, d).undirected()
-    from lodestone.scratch import materialize
-
-    c = materialize(structure.dsatur(t), "colours")
-    clash = t.edges.join(c.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(c.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b").count()
-    return c.agg(F.count("*").alias("nodes"), F.countDistinct("colour").alias("colours"), F.lit(clash).cast("long").alias("clashes"))
-
-
-@query(f"WITH {T.GEOGRAPHY} SELECT node, 1::BIGINT AS core FROM gv")
-def k_core_tree(spark, d):
-    return components.k_core(T.geography(spark, d))
-
-
 @query()
 def k_core(spark, d):
     return components.k_core(T.supply(spark, d))
@@ -544,11 +416,6 @@ def distance_analytics(spark, d):
     return centrality.distance_analytics(T.transitions(spark, d))
 
 
-@query()
-def label_propagation(spark, d):
-    return structure.label_propagation(T.geography(spark, d))
-
-
 @query(f"WITH {T.TRANSITIONS}, a AS MATERIALIZED (SELECT DISTINCT src, dst FROM te) SELECT x.src AS p0, count(*) AS mappings FROM a x JOIN a y ON y.src = x.dst JOIN a z ON z.src = y.dst AND z.dst = x.src WHERE x.src <> x.dst AND y.src <> y.dst AND y.dst <> x.src GROUP BY 1")
 def subgraph_isomorphisms(spark, d):
     """Directed triangles by their first node."""
@@ -627,13 +494,6 @@ def change_log(spark, d):
     return x.select("user_id", "event_type", "value", "event_id")
 
 
-@query(f"WITH {T.TRANSITIONS}, q AS (SELECT node AS i, node AS j FROM tv) SELECT i, j, EXISTS (SELECT 1 FROM te WHERE src = i AND dst = j) AS found FROM q")
-def bit_matrix(spark, d):
-    t = T.transitions(spark, d)
-    m = matrix.BitMatrix.from_topology(t)
-    return m.lookup(t.vertices.select(F.col("node").alias("i"), F.col("node").alias("j")))
-
-
 @query(f"WITH {T.TYPE_FLOW} SELECT src AS i, dst AS j, (CASE WHEN src = dst THEN 0 ELSE n END)::DOUBLE AS value FROM fe")
 def dense_matrix(spark, d):
     """The flow's counts, the diagonal replaced by zeros."""

@@ -1,8 +1,8 @@
 """Streams of edge changes: an extension, as the graph model itself is batch.
 
 A change stream has (seq, op, edge, src, dst), op upsert or remove. ``upsert_edges`` keeps the folded edge table by
-micro-batches: each writes the next version beside the last and then points to it, so a batch that is run again after a
-failure gives the same version. ``windowed_degrees`` counts per event-time window with a watermark for late rows.
+micro-batches: each writes the next version beside the last, so a batch that is run again after a failure gives the same
+version. A version keeps the last change of every edge, removals too: an upsert that comes late doesn't bring an edge back. ``windowed_degrees`` counts per event-time window with a watermark for late rows.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.mutable import fold_log
+from lodestone.operators.mutable import last_changes
 
 CHANGE = "seq long, op string, edge long, src long, dst long"
 
@@ -20,7 +20,7 @@ def version_path(path: str, batch: int) -> str:
 
 
 def current_edges(spark: SparkSession, path: str, batch: int) -> DataFrame:
-    return spark.read.parquet(version_path(path, batch))
+    return spark.read.parquet(version_path(path, batch)).where("op <> 'remove'").select("edge", "src", "dst", "seq")
 
 
 def upsert_edges(changes: DataFrame, path: str, checkpoint: str):
@@ -30,9 +30,8 @@ def upsert_edges(changes: DataFrame, path: str, checkpoint: str):
         spark = batch.sparkSession
         log = batch.select("seq", "op", "edge", "src", "dst")
         if number:
-            log = log.unionByName(current_edges(spark, path, number - 1).select("seq", F.lit("upsert").alias("op"), "edge", "src", "dst"))
-        keep = fold_log(log.withColumn("last", F.col("seq")), ["edge"])
-        keep.select("edge", "src", "dst", F.col("last").alias("seq")).write.mode("overwrite").parquet(version_path(path, number))
+            log = log.unionByName(spark.read.parquet(version_path(path, number - 1)))
+        last_changes(log, ["edge"]).select("seq", "op", "edge", "src", "dst").write.mode("overwrite").parquet(version_path(path, number))
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
