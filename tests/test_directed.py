@@ -227,7 +227,7 @@ def test_flows(spark):
 
 
 def test_control_flow(spark):
-    edges = draw(8, 11, 20)
+    edges = draw(16, 11, 20)
     t, live = topo(spark, 11, edges).persisted(), reach(edges, 0)
     above = {v: {x for x in live if x == v or x == 0 or v not in reach(edges, 0, x)} for v in live}
     idom = {v: max(above[v] - {v}, key=lambda x: len(above[x])) if v else None for v in live}
@@ -243,7 +243,7 @@ def test_control_flow(spark):
 
 
 def test_enumeration(spark):
-    edges = draw(11, 7, 14, loops=False)
+    edges = draw(13, 7, 14, loops=False)
     t, near = topo(spark, 7, edges), {e[:2] for e in edges}
     cost = {e: min(w for a, b, w in edges if (a, b) == e) for e in near}
     simple = sorted([0, *mid, 6] for k in range(6) for mid in itertools.permutations(range(1, 6), k) if all(e in near for e in itertools.pairwise([0, *mid, 6])))
