@@ -23,9 +23,11 @@ def _spread(arcs: DataFrame, label: DataFrame) -> DataFrame:
     while True:
         step = arcs.join(now.select(F.col("node").alias("a"), "color"), "a").groupBy(F.col("b").alias("node")).agg(F.max("color").alias("c"))
         new = materialize(now.join(step, "node", "left").select("node", F.greatest("color", "c").alias("color"), (F.col("c") > F.col("color")).alias("moved")), "color")
+        drop(now)
         if new.where("moved").isEmpty():
             return new.drop("moved")
         now = new.drop("moved")
+        now._lodestone_path = new._lodestone_path
 
 
 def strongly_connected(t: Topology, keep=None) -> DataFrame:

@@ -9,17 +9,23 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone import errors
+
 _own: dict[str, str] = {}
 _written: set[str] = set()
 
 
 def folder(spark: SparkSession) -> str:
-    """The checkpoint folder named by the session; a temporary one only where none is set (local tests)."""
+    """The checkpoint folder named by the session; a temporary one only where none is set (local tests).
+
+    On a cluster an executor's own disk is no such folder: without one that is named, this is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise errors.InvalidAlgorithmParameter("spark.checkpoint.dir must name a folder that all executors share")
         _own[app] = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(_own[app])
         atexit.register(shutil.rmtree, _own[app], True)

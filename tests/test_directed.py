@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-from lodestone import errors
+from lodestone import errors, scratch
 from lodestone.graph import Topology
 from lodestone.operators import components as C
 from lodestone.operators import dag as D
@@ -268,6 +268,17 @@ def test_scores(spark):
         q = [0.15 / 9 + 0.85 * (loose / 9 + sum(p[a] / degree[a] for a, b, _ in edges if b == v)) for v in range(9)]
         p = [x / sum(q) for x in q]
     assert [r["score"] for r in R.page_rank(t, iterations=6).orderBy("node").collect()] == pytest.approx(p)
+    ring = [*((v, (v + 1) % 9, 1) for v in range(9)), *edges]  # no node without an edge out: rounds are chained
+    degree = [sum(a == v for a, *_ in ring) for v in range(9)]
+    p = [1 / 9] * 9
+    for _ in range(12):
+        p = [0.15 / 9 + 0.85 * sum(p[a] / degree[a] for a, b, _ in ring if b == v) for v in range(9)]
+    whole = topo(spark, 9, ring).persisted()
+    assert [r["score"] for r in R.page_rank(whole, iterations=12).orderBy("node").collect()] == pytest.approx(p)
+    assert [r["score"] for r in R.page_rank(whole, iterations=0).orderBy("node").collect()] == pytest.approx([1 / 9] * 9)
+    before = set(scratch._written)
+    R.eigenvector_centrality(whole, 5, 0.0)
+    assert len(set(scratch._written) - before) == 2  # the arcs and the last scores
     pairs = {(a, b) for a, b, _ in edges if a != b}
     unit = lambda x: [y / sum(z * z for z in x) ** 0.5 for y in x]
     hub = [1 / 3] * 9

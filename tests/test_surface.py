@@ -1,10 +1,11 @@
 """The facade, the cache, streams, the one-roof module and the entry contract."""
 
 import json
+from types import SimpleNamespace
 
 import pytest
 
-from lodestone import api, errors
+from lodestone import api, errors, scratch
 from lodestone.facade import NamedGraph
 from lodestone.graph import Topology
 from lodestone.operators.cache import TraversalCache
@@ -49,6 +50,14 @@ def test_stream(spark, tmp_path):
     assert stream.windowed_degrees(spark.sql("select timestamp'2024-01-01 00:10:00' as ts, 3L as src")).first()["out_degree"] == 1
 
 
+def test_no_folder_of_ones_own_on_a_cluster():
+    spark = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(applicationId="app", master="spark://host:7077"))
+    with pytest.raises(errors.InvalidAlgorithmParameter):
+        scratch.folder(spark)
+    spark.conf.get = lambda *_: "/shared/"
+    assert scratch.folder(spark) == "/shared"
+
+
 def test_entry_contract():
     import __spark_entry__ as entry
 
