@@ -84,6 +84,29 @@ def test_attributes():
         canonical('{"a":NaN}')
 
 
+def test_complement_writes_no_pairs(spark, monkeypatch):
+    """Numbers in the order (src, dst) for ids with gaps, and only what is left out is sorted and written."""
+    from lodestone import scratch
+    from lodestone.plans import loop
+
+    written = []
+
+    def counted(df, name):
+        out = scratch.materialize(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(loop, "materialize", counted)
+    ids = [3, 7, 8, 20, *range(30, 60)]
+    pairs = [(3, 7), (3, 7), (7, 3), (8, 8), (20, 3), (20, 59), (59, 20), (30, 31), (30, 59)]
+    t = Topology(spark.createDataFrame([(x,) for x in ids], "node long"), spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "edge long, src long, dst long"))
+    for loops in (False, True):
+        want = [(a, b) for a in ids for b in ids if (loops or a != b) and (a, b) not in pairs]
+        got = [tuple(r) for r in setops.complement(t, loops).edges.select("edge", "src", "dst").orderBy("edge").collect()]
+        assert got == [(k, *p) for k, p in enumerate(want)]
+    assert max(written) <= 2 * len(ids) + len(pairs)
+
+
 def test_views(spark):
     t = Topology.from_edges(spark, 4, [(0, 1), (1, 2), (2, 3), (0, 1)])
     assert sorted((r["src"], r["dst"]) for r in t.reversed().edges.collect()) == [(1, 0), (1, 0), (2, 1), (3, 2)]
