@@ -1,6 +1,7 @@
 """Centralities that look from every node: closeness, betweenness, edge betweenness and distance measures.
 
-All sources advance together, one join per level: the state is (source, node), dealt over all tasks, so nothing is
+Up to ``blocks.MOST_ARCS`` arcs, counted first, each task takes blocks of sources over the shared arcs (``kernels.blocks``).
+Beyond, all sources advance together, one join per level: the state is (source, node), dealt over all tasks, so nothing is
 broadcast and no task holds a graph.
 """
 
@@ -10,17 +11,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.graph import Topology
+from lodestone.kernels import blocks
 from lodestone.operators.rank import distinct_arcs
 from lodestone.operators.traversal import _union
 from lodestone.scratch import materialize
 
 
-def closeness(t: Topology, direction: str = "outgoing") -> DataFrame:
-    """(node, score): (r / total) * (r / (n - 1)) over the r other nodes reached; 0 where there are none."""
+def _reach(t: Topology, direction: str) -> DataFrame:
+    """(node, r, total, far): the other nodes reached from each vertex, the sum of their levels and the largest."""
     from lodestone.operators.traversal import distances
 
-    n = t.node_count()
-    d = distances(t, None, direction).groupBy(F.col("source").alias("node")).agg((F.count("*") - 1).alias("r"), F.sum("level").alias("total"))
+    n = blocks.net(t.vertices, materialize(distinct_arcs(t, direction).select("a", "b", F.lit(1).cast("long").alias("x")), "arcs"))
+    if n is not None:
+        return materialize(blocks.each_block(t.spark, n, blocks.reach, "node long, r long, total long, far int", 1 / 8, 64), "reach")
+    return distances(t, None, direction).groupBy(F.col("source").alias("node")).agg((F.count("*") - 1).alias("r"), F.sum("level").alias("total"), F.max("level").alias("far"))
+
+
+def closeness(t: Topology, direction: str = "outgoing") -> DataFrame:
+    """(node, score): (r / total) * (r / (n - 1)) over the r other nodes reached; 0 where there are none."""
+    n, d = t.node_count(), _reach(t, direction)
     score = F.when(F.col("r") > 0, F.col("r") / F.col("total") * (F.col("r") / F.lit(float(max(n - 1, 1))))).otherwise(0.0)
     return t.vertices.join(d.select("node", score.alias("score")), "node", "left").select("node", F.coalesce("score", F.lit(0.0)).alias("score"))
 
