@@ -81,7 +81,11 @@ def edge_betweenness(t: Topology, normalised: bool = False, keep=None) -> DataFr
     g = t.filter_edges(keep) if keep is not None else t
     n = t.node_count()
     arcs = materialize(g.arcs("outgoing").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("m")), "arcs")
-    _, flow = _dependencies(arcs, _forward(arcs, t.vertices))
+    shared = blocks.net(t.vertices, arcs.select("a", "b", F.col("m").alias("x")))
+    if shared is not None:
+        flow = materialize(blocks.each_block(t.spark, shared, blocks.flows, "a long, b long, flow double", 8, sums=True).groupBy("a", "b").agg(F.sum("flow").alias("flow")), "flows")
+    else:
+        _, flow = _dependencies(arcs, _forward(arcs, t.vertices))
     e = g.edges.select("edge", "src", "dst")
     f = e.join(flow.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("flow").alias("x")), ["src", "dst"], "left")
     total = F.coalesce("x", F.lit(0.0))

@@ -22,6 +22,7 @@ def graph(spark):
 RUNS = {
     "all_pairs_johnson": lambda t: paths.all_pairs(t, "w", parents=False),
     "closeness_centrality": centrality.closeness,
+    "edge_betweenness": centrality.edge_betweenness,
 }
 
 
