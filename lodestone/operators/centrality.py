@@ -68,11 +68,15 @@ def betweenness(t: Topology, direction: str = "outgoing", normalised: bool = Tru
     n = t.node_count()
     both = direction == "both" or not t.directed
     arcs = materialize(distinct_arcs(t, direction).withColumn("m", F.lit(1)), "arcs")
-    d, _ = _dependencies(arcs, _forward(arcs, t.vertices))
+    shared = blocks.net(t.vertices, arcs.select("a", "b", F.col("m").cast("long").alias("x")))
+    if shared is not None:
+        total = materialize(blocks.each_block(t.spark, shared, blocks.dependencies, "node long, s double", 8, sums=True).groupBy("node").agg(F.sum("s").alias("s")), "dependencies")
+    else:
+        d, _ = _dependencies(arcs, _forward(arcs, t.vertices))
+        total = d.where("source <> node").groupBy("node").agg(F.sum("delta").alias("s"))
     scale = 0.5 if both else 1.0
     if normalised:
         scale *= (2.0 if both else 1.0) / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    total = d.where("source <> node").groupBy("node").agg(F.sum("delta").alias("s"))
     return t.vertices.join(total, "node", "left").select("node", (F.coalesce("s", F.lit(0.0)) * scale).alias("score"))
 
 

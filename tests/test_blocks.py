@@ -23,6 +23,7 @@ RUNS = {
     "all_pairs_johnson": lambda t: paths.all_pairs(t, "w", parents=False),
     "closeness_centrality": centrality.closeness,
     "edge_betweenness": centrality.edge_betweenness,
+    "betweenness_centrality": centrality.betweenness,
 }
 
 
