@@ -107,12 +107,9 @@ def undirected_edge_betweenness(t: Topology, normalised: bool = False, keep=None
 
 def distance_analytics(t: Topology, keep=None) -> DataFrame | None:
     """(node, eccentricity, diameter, radius, center, periphery) of an undirected connected graph; None otherwise."""
-    from lodestone.operators.traversal import distances
-
     g = (t.filter_edges(keep) if keep is not None else t).undirected()
     n = t.node_count()
-    d = distances(g, None, "both").groupBy(F.col("source").alias("node")).agg(F.max("level").alias("eccentricity"), F.count("*").alias("r"))
-    d = materialize(d, "distances")
+    d = materialize(_reach(g, "both").select("node", F.col("far").alias("eccentricity"), (F.col("r") + 1).alias("r")), "distances")
     row = d.agg(F.max("eccentricity"), F.min("eccentricity"), F.min("r")).first()
     if not n or row[2] < n:
         return None

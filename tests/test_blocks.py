@@ -24,6 +24,7 @@ RUNS = {
     "closeness_centrality": centrality.closeness,
     "edge_betweenness": centrality.edge_betweenness,
     "betweenness_centrality": centrality.betweenness,
+    "distance_analytics": centrality.distance_analytics,
 }
 
 
