@@ -12,6 +12,7 @@ from lodestone.functions import generators as G
 from lodestone.functions.filters import EdgeFilter
 from lodestone.operators import centrality, components, dag, matrix, mutable, paths, rank, setops, spanning, structure, traversal
 from lodestone.plans import graphs as T
+from lodestone.scratch import materialize
 from lodestone.sources import graph_json, text_formats
 
 QUERIES: dict = {}
@@ -113,11 +114,9 @@ def graph_union(spark, d):
 
 @query(f"WITH {T.EVIDENCE} SELECT 'node' AS element, count(*) AS n, sum(length(id)) ::BIGINT AS chars FROM vn UNION ALL SELECT 'edge', count(*), sum(length(source) + length(target))::BIGINT FROM ve")
 def json_round_trip(spark, d):
-    """The graph written as JSON lines, gathered into a document and read, validated and numbered again."""
+    """The graph written as JSON documents of bounded size, and read, merged, validated and numbered again."""
     g = T.evidence(spark, d)
-    lines = graph_json.element_lines(g).groupBy("kind").agg(F.array_join(F.sort_array(F.collect_list("line")), ",").alias("x"))
-    doc = lines.agg(F.concat(F.lit('{"nodes":['), F.max(F.when(F.col("kind") == "node", F.col("x"))), F.lit('],"edges":['), F.max(F.when(F.col("kind") == "edge", F.col("x"))), F.lit("]}")).alias("value"))
-    h = graph_json.from_json(doc)
+    h = graph_json.from_json(materialize(graph_json.documents(g), "documents"))
     n = h.nodes.agg(F.lit("node").alias("element"), F.count("*").alias("n"), F.sum(F.length("id")).cast("long").alias("chars"))
     return n.unionByName(h.edges.agg(F.lit("edge").alias("element"), F.count("*").alias("n"), F.sum(F.length("source") + F.length("target")).cast("long").alias("chars")))
 

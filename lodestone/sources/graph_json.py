@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from lodestone import errors, schema
 from lodestone.graph import EvidenceGraph, Topology
+from lodestone.scratch import materialize
+
+#: Elements of a document that ``documents`` makes; Spark reads some thousands of rows of a table at once.
+DOCUMENT = 100
 
 _NODE_JSON = "struct<id:string,label:string,kind:string,language:string,span:struct<file:string,start:struct<line:bigint,column:bigint>,end:struct<line:bigint,column:bigint>>,attributes:variant>"
 _EDGE_JSON = "struct<source:string,target:string,kind:string,provenance:struct<extractor:string,evidence:string,confidence:string,span:struct<file:string,start:struct<line:bigint,column:bigint>,end:struct<line:bigint,column:bigint>>,detail:string>,attributes:variant>"
@@ -19,8 +23,8 @@ def from_json(text: DataFrame, column: str = "value") -> EvidenceGraph:
     doc = text.select(F.from_json(column, f"struct<nodes:array<{_NODE_JSON}>,edges:array<{_EDGE_JSON}>>").alias("d"))
     if not doc.where("d is null or d.nodes is null or d.edges is null").isEmpty():
         raise errors.InvalidFormat("a graph is an object with nodes and edges")
-    n = doc.select(F.inline("d.nodes")).withColumn("attributes", F.to_json("attributes"))
-    e = doc.select(F.inline("d.edges")).withColumn("attributes", F.to_json("attributes"))
+    n = materialize(doc.select(F.inline("d.nodes")).withColumn("attributes", F.to_json("attributes")), "nodes")  # parsed once, read by every check
+    e = materialize(doc.select(F.inline("d.edges")).withColumn("attributes", F.to_json("attributes")), "edges")
     return EvidenceGraph.from_parts(n, e)
 
 
@@ -39,6 +43,17 @@ def element_lines(g: EvidenceGraph) -> DataFrame:
     return line(g.nodes, ["id", "label", "kind", "language", "span"], "node", "idx").unionByName(line(g.edges, ["source", "target", "kind", "provenance"], "edge", "edge"))
 
 
+def documents(g: EvidenceGraph, elements: int = DOCUMENT) -> DataFrame:
+    """(value): the graph as documents {nodes, edges} of up to ``elements`` nodes or edges each, which ``from_json`` merges.
+
+    Elements come in their order, so a document's size is bounded whatever the graph's."""
+    lines = element_lines(g).groupBy("kind", F.floor(F.col("place") / elements).alias("part")).agg(F.sort_array(F.collect_list(F.struct("place", "line"))).alias("x"))
+    text = F.array_join(F.transform("x", lambda e: e["line"]), ",")
+    out = lines.select(F.when(F.col("kind") == "node", F.concat(F.lit('{"nodes":['), text, F.lit('],"edges":[]}'))).otherwise(F.concat(F.lit('{"nodes":[],"edges":['), text, F.lit("]}"))).alias("value"))
+    empty = g.nodes.sparkSession.createDataFrame([('{"nodes":[],"edges":[]}',)], "value string")
+    return out.unionByName(empty)
+
+
 def to_json(g: EvidenceGraph) -> str:
     """The whole graph as one text {nodes, edges}; for graphs that fit in the driver."""
     rows = element_lines(g).orderBy("kind", "place").collect()

@@ -84,6 +84,17 @@ def test_attributes():
         canonical('{"a":NaN}')
 
 
+def test_documents_are_bounded(spark):
+    """A graph of many elements is several documents, none with more elements than allowed, that merge into the same graph."""
+    nodes = [{"id": f"n{k}", "label": "x", "kind": "file"} for k in range(25)]
+    edges = [{"source": f"n{k}", "target": f"n{k // 2}", "kind": "calls", "provenance": {"extractor": "t", "evidence": "parsed", "confidence": "high"}, "attributes": {"k": k}} for k in range(25)]
+    g = J.from_json(spark.createDataFrame([(json.dumps({"nodes": nodes, "edges": edges}),)], "value string"))
+    docs = J.documents(g, 10)
+    sizes = [max(len(json.loads(r["value"])[k]) for k in ("nodes", "edges")) for r in docs.collect()]
+    assert sorted(sizes) == [0, 5, 5, 10, 10, 10, 10]
+    assert J.to_json(J.from_json(docs)) == J.to_json(g)
+
+
 def test_complement_writes_no_pairs(spark, monkeypatch):
     """Numbers in the order (src, dst) for ids with gaps, and only what is left out is sorted and written."""
     from lodestone import scratch
