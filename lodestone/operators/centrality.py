@@ -70,7 +70,7 @@ def betweenness(t: Topology, direction: str = "outgoing", normalised: bool = Tru
     arcs = materialize(distinct_arcs(t, direction).withColumn("m", F.lit(1)), "arcs")
     shared = blocks.net(t.vertices, arcs.select("a", "b", F.col("m").cast("long").alias("x")))
     if shared is not None:
-        total = materialize(blocks.each_block(t.spark, shared, blocks.dependencies, "node long, s double", 8, sums=True).groupBy("node").agg(F.sum("s").alias("s")), "dependencies")
+        total = materialize(blocks.each_block(t.spark, shared, blocks.dependencies, "node long, s double", 32, 1, True).groupBy("node").agg(F.sum("s").alias("s")), "dependencies")
     else:
         d, _ = _dependencies(arcs, _forward(arcs, t.vertices))
         total = d.where("source <> node").groupBy("node").agg(F.sum("delta").alias("s"))
