@@ -87,7 +87,7 @@ def edge_betweenness(t: Topology, normalised: bool = False, keep=None) -> DataFr
     arcs = materialize(g.arcs("outgoing").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("m")), "arcs")
     shared = blocks.net(t.vertices, arcs.select("a", "b", F.col("m").alias("x")))
     if shared is not None:
-        flow = materialize(blocks.each_block(t.spark, shared, blocks.flows, "a long, b long, flow double", 8, sums=True).groupBy("a", "b").agg(F.sum("flow").alias("flow")), "flows")
+        flow = materialize(blocks.each_block(t.spark, shared, blocks.flows, "a long, b long, flow double", 32, 1, True).groupBy("a", "b").agg(F.sum("flow").alias("flow")), "flows")
     else:
         _, flow = _dependencies(arcs, _forward(arcs, t.vertices))
     e = g.edges.select("edge", "src", "dst")
