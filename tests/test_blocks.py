@@ -46,3 +46,15 @@ def test_blocks(spark, monkeypatch, name):
     joined = sorted(tuple(r) for r in RUNS[name](t).collect())
     assert sum(written) >= N * N / 2
     assert len(got) == len(joined) and all(list(a) == pytest.approx(list(b)) for a, b in zip(got, joined, strict=True))
+
+
+def test_transitions_leave_no_table_of_the_way(spark, tmp_path, monkeypatch):
+    """Of the events' tables only the edges and the vertices stay on disk."""
+    import os
+
+    from lodestone.plans import graphs
+
+    monkeypatch.setattr(scratch, "folder", lambda _: str(tmp_path))
+    t = graphs.transitions(spark, "/root/testdata/sf0.001")
+    assert sorted(x.partition("-")[0] for x in os.listdir(tmp_path)) == ["edges", "vertices"]
+    assert t.edge_count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count() - 1
