@@ -1,6 +1,7 @@
 """Centralities that look from every node: closeness, betweenness, edge betweenness and distance measures.
 
-Up to ``blocks.MOST_ARCS`` arcs, counted first, each task takes blocks of sources over the shared arcs (``kernels.blocks``).
+Up to ``blocks.MOST_ARCS`` arcs (twice as many where sets of sources do), counted first, each task takes blocks of sources
+over the shared arcs (``kernels.blocks``).
 Beyond, all sources advance together, one join per level: the state is (source, node), dealt over all tasks, so nothing is
 broadcast and no task holds a graph.
 """
@@ -14,16 +15,18 @@ from lodestone.graph import Topology
 from lodestone.kernels import blocks
 from lodestone.operators.rank import distinct_arcs
 from lodestone.operators.traversal import _union
-from lodestone.scratch import materialize
+from lodestone.scratch import drop, materialize
 
 
 def _reach(t: Topology, direction: str) -> DataFrame:
     """(node, r, total, far): the other nodes reached from each vertex, the sum of their levels and the largest."""
     from lodestone.operators.traversal import distances
 
-    n = blocks.net(t.vertices, materialize(distinct_arcs(t, direction).select("a", "b", F.lit(1).cast("long").alias("x")), "arcs"))
+    arcs = materialize(distinct_arcs(t, direction).select("a", "b", F.lit(1).cast("long").alias("x")), "arcs")
+    n = blocks.net(t.vertices, arcs, 2 * blocks.MOST_ARCS)
+    drop(arcs)
     if n is not None:
-        return materialize(blocks.each_block(t.spark, n, blocks.reach, "node long, r long, total long, far int", 1 / 8, 64), "reach")
+        return materialize(blocks.each_block(t.spark, n, blocks.reach, "node long, r long, total long, far int", 1 / 8, 64, state_bytes=blocks.SET_BYTES), "reach")
     return distances(t, None, direction).groupBy(F.col("source").alias("node")).agg((F.count("*") - 1).alias("r"), F.sum("level").alias("total"), F.max("level").alias("far"))
 
 

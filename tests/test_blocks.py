@@ -48,6 +48,27 @@ def test_blocks(spark, monkeypatch, name):
     assert len(got) == len(joined) and all(list(a) == pytest.approx(list(b)) for a, b in zip(got, joined, strict=True))
 
 
+@pytest.mark.parametrize("name", ["closeness_centrality", "distance_analytics"])
+def test_sets_of_twice_the_arcs(spark, monkeypatch, name):
+    """Bit sets need less than other states, so they keep to the blocks up to twice as many arcs, in pieces."""
+    t, written = graph(spark), []
+    whole = sorted(tuple(r) for r in RUNS[name](t).collect())
+
+    def counted(df, label):
+        out = scratch.materialize(df, label)
+        written.append(out.count())
+        return out
+
+    for m in (centrality, traversal):
+        monkeypatch.setattr(m, "materialize", counted)
+    monkeypatch.setattr(blocks, "SPREAD", 7)
+    monkeypatch.setattr(blocks, "MOST_ARCS", t.edge_count())
+    both = {(a, b) for r in t.edges.collect() for a, b in ((r.src, r.dst), (r.dst, r.src)) if a != b}
+    assert name == "closeness_centrality" or len(both) > t.edge_count()
+    assert sorted(tuple(r) for r in RUNS[name](t).collect()) == whole
+    assert sum(written) <= 4 * t.edge_count()
+
+
 def test_transitions_leave_no_table_of_the_way(spark, tmp_path, monkeypatch):
     """Of the events' tables only the edges and the vertices stay on disk."""
     import os
